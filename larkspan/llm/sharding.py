@@ -20,8 +20,6 @@ their own, in order of their text's fingerprint; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,65 +32,44 @@ BUCKET_ROWS = 20_000
 OVERHEAD = 8
 
 
-@dataclass(frozen=True)
-class Leaf:
-    region: int
-    rack: int
-    shard: int
-    weight: float = 1.0
-
-
-def topology(shards: int, weights: dict[int, float] | None = None) -> list[Leaf]:
-    """Shards filled into racks of four and regions of two racks, in order.
+def topology(shard: int) -> tuple[int, int]:
+    """Region and rack of a shard: racks of four, regions of two racks, in order.
 
-    A prefix of the shards keeps its places when the count grows.
+    A shard keeps its place when the count grows.
     """
-    per_region = RACKS_PER_REGION * SHARDS_PER_RACK
-    return [Leaf(i // per_region, i // SHARDS_PER_RACK, i, (weights or {}).get(i, 1.0)) for i in range(shards)]
+    return shard // (RACKS_PER_REGION * SHARDS_PER_RACK), shard // SHARDS_PER_RACK
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    """An exponential variate with the leaf's weight as its rate."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard)), 11).cast("double")
-    return -F.log((bits + 0.5) / float(1 << 53)) / leaf.weight
+def _draw(key: Column, shard: int, weight: float) -> Column:
+    """An exponential variate with the shard's weight as its rate."""
+    if weight <= 0:
+        return F.lit(float("inf"))
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double")
+    return -F.log((bits + 0.5) / float(1 << 53)) / weight
 
 
-def _least(options: list[Column]) -> Column:
-    return F.least(*options) if len(options) > 1 else options[0]
+def _least_of(draws: str, size: int, group: int) -> Column:
+    """The least draw of each run of ``group`` children."""
+    return F.array(*[F.array_min(F.slice(draws, i + 1, group)) for i in range(0, size, group)])
 
 
-def _first_at(least: Column, options: list[tuple[int, Column]]) -> Column:
-    """The label of the option that equals ``least``; ties go to the first."""
-    chosen = F.lit(options[-1][0])
-    for label, value in reversed(options[:-1]):
-        chosen = F.when(value == least, F.lit(label)).otherwise(chosen)
-    return chosen
+def _winner(draws: Column) -> Column:
+    """Where the least draw is, from 0; ties go to the first."""
+    return (F.array_position(draws, F.array_min(draws)) - 1).cast("int")
 
 
-def place(df: DataFrame, leaves: list[Leaf], key: str = "doc_id", prefix: str = "") -> DataFrame:
+def place(df: DataFrame, shards: int, weights: dict[int, float] | None = None, key: str = "doc_id", prefix: str = "") -> DataFrame:
     """Add columns region, rack and shard (with a prefix) by descending the tree."""
     hashed = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    used = [x for x in leaves if x.weight > 0]
-    draws = [_draw(hashed, x).alias(f"__d{x.shard}") for x in used]
-    df = df.select("*", *draws)
-    racks = sorted({(x.region, x.rack) for x in used})
-    rack_draw = {k: _least([F.col(f"__d{x.shard}") for x in used if x.rack == k[1]]) for k in racks}
-    df = df.select("*", *[v.alias(f"__r{k[1]}") for k, v in rack_draw.items()])
-    regions = sorted({x.region for x in used})
-    df = df.select("*", *[_least([F.col(f"__r{k[1]}") for k in racks if k[0] == r]).alias(f"__g{r}") for r in regions])
-    best_region = _least([F.col(f"__g{r}") for r in regions])
-    df = df.withColumn(f"{prefix}region", _first_at(best_region, [(r, F.col(f"__g{r}")) for r in regions]))
-
-    def inside(parent: str, groups: dict[int, list[tuple[int, Column]]]) -> Column:
-        out = None
-        for k, options in groups.items():
-            pick = _first_at(_least([v for _, v in options]), options)
-            out = F.when(F.col(parent) == k, pick) if out is None else out.when(F.col(parent) == k, pick)
-        return out
-
-    df = df.withColumn(f"{prefix}rack", inside(f"{prefix}region", {r: [(k[1], F.col(f"__r{k[1]}")) for k in racks if k[0] == r] for r in regions}))
-    df = df.withColumn(f"{prefix}shard", inside(f"{prefix}rack", {k[1]: [(x.shard, F.col(f"__d{x.shard}")) for x in used if x.rack == k[1]] for k in racks}))
-    return df.drop(*[f"__d{x.shard}" for x in used], *[f"__r{k[1]}" for k in racks], *[f"__g{r}" for r in regions])
+    racks = -(-shards // SHARDS_PER_RACK)
+    region, rack, shard = (f"{prefix}{x}" for x in ("region", "rack", "shard"))
+    df = df.withColumn("__shards", F.array(*[_draw(hashed, i, (weights or {}).get(i, 1.0)) for i in range(shards)]))
+    df = df.withColumn("__racks", _least_of("__shards", shards, SHARDS_PER_RACK))
+    df = df.withColumn("__regions", _least_of("__racks", racks, RACKS_PER_REGION))
+    df = df.withColumn(region, _winner(F.col("__regions")))
+    df = df.withColumn(rack, F.col(region) * RACKS_PER_REGION + _winner(F.slice("__racks", F.col(region) * RACKS_PER_REGION + 1, RACKS_PER_REGION)))
+    df = df.withColumn(shard, F.col(rack) * SHARDS_PER_RACK + _winner(F.slice("__shards", F.col(rack) * SHARDS_PER_RACK + 1, SHARDS_PER_RACK)))
+    return df.drop("__shards", "__racks", "__regions")
 
 
 def with_slots(df: DataFrame, order: list[str], rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -101,10 +78,12 @@ def with_slots(df: DataFrame, order: list[str], rows: int, bucket_rows: int = BU
     df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(buckets)))
     sizes = df.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(W.partitionBy("shard").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select("shard", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    sizes = sizes.select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
     inside = F.row_number().over(W.partitionBy("shard", "__bucket").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
     numbered = df.withColumn("__rank", inside - 1)
-    return numbered.join(sizes, ["shard", "__bucket"]).withColumn("slot", (F.col("__before") + F.col("__rank")).cast("long")).drop("__bucket", "__before", "__rank")
+    # Null-safe: a plain equality would infer a filter that repeats the whole draw.
+    same = F.col("shard").eqNullSafe(F.col("__s")) & F.col("__bucket").eqNullSafe(F.col("__b"))
+    return numbered.join(sizes, same).withColumn("slot", (F.col("__before") + F.col("__rank")).cast("long")).drop("__bucket", "__before", "__rank", "__s", "__b")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, weights: dict[int, float] | None = None, grow: bool = True) -> DataFrame:
@@ -119,7 +98,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, weights: dict[int, fl
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64("text").alias("__fp"),
     )
-    placed = place(rows, topology(shards, weights))
+    placed = place(rows, shards, weights)
     if grow:
-        placed = place(placed, topology(shards + 1, weights), prefix="grown_")
+        placed = place(placed, shards + 1, weights, prefix="grown_")
     return with_slots(placed, ["doc_id", "__fp"], docs.count()).drop("__fp")
