@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import queries_a
+from . import queries_a, queries_b
 
 QUERIES = {
+    "op1_substring_dedup": queries_b.op1_substring_dedup,
     "op4_benchmark_decontamination": queries_a.op4_benchmark_decontamination,
     "op7_sharding": queries_a.op7_sharding,
 }
 
 ORACLES = {
+    "op1_substring_dedup": queries_b.OP1_SQL,
     "op4_benchmark_decontamination": queries_a.OP4_SQL,
 }
