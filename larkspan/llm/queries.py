@@ -6,6 +6,7 @@ from . import queries_a, queries_b, queries_c
 
 QUERIES = {
     "op1_substring_dedup": queries_b.op1_substring_dedup,
+    "op2_language_id": queries_c.op2_language_id,
     "op3_quality_classifier": queries_c.op3_quality_classifier,
     "op4_benchmark_decontamination": queries_a.op4_benchmark_decontamination,
     "op6_quality_rules": queries_c.op6_quality_rules,

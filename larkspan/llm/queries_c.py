@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_model, quality_rules
+from . import language_id, quality_model, quality_rules
 
 
 def remainder(mod: int) -> Column:
@@ -25,3 +25,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality_rules.verdicts(docs, labels)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = language_id.identify(docs, remainder(4) != 2)
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
