@@ -9,6 +9,7 @@ QUERIES = {
     "op2_language_id": queries_c.op2_language_id,
     "op3_quality_classifier": queries_c.op3_quality_classifier,
     "op4_benchmark_decontamination": queries_a.op4_benchmark_decontamination,
+    "op5_lm_score": queries_c.op5_lm_score,
     "op6_quality_rules": queries_c.op6_quality_rules,
     "op7_sharding": queries_a.op7_sharding,
 }
