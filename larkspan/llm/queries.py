@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import queries_a, queries_b, queries_c
+from .shipping import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def shipped(query: Query) -> Query:
+    """The query, with this package sent to the executors first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op1_substring_dedup": queries_b.op1_substring_dedup,
-    "op2_language_id": queries_c.op2_language_id,
-    "op3_quality_classifier": queries_c.op3_quality_classifier,
-    "op4_benchmark_decontamination": queries_a.op4_benchmark_decontamination,
-    "op5_lm_score": queries_c.op5_lm_score,
-    "op6_quality_rules": queries_c.op6_quality_rules,
-    "op7_sharding": queries_a.op7_sharding,
+    "op1_substring_dedup": shipped(queries_b.op1_substring_dedup),
+    "op2_language_id": shipped(queries_c.op2_language_id),
+    "op3_quality_classifier": shipped(queries_c.op3_quality_classifier),
+    "op4_benchmark_decontamination": shipped(queries_a.op4_benchmark_decontamination),
+    "op5_lm_score": shipped(queries_c.op5_lm_score),
+    "op6_quality_rules": shipped(queries_c.op6_quality_rules),
+    "op7_sharding": shipped(queries_a.op7_sharding),
+    "op9_packing": shipped(queries_c.op9_packing),
 }
 
 ORACLES = {
