@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_a, queries_b, queries_c
+from . import queries_a, queries_b, queries_c, queries_d
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ QUERIES = {
     "op6_quality_rules": shipped(queries_c.op6_quality_rules),
     "op7_sharding": shipped(queries_a.op7_sharding),
     "op9_packing": shipped(queries_c.op9_packing),
+    "op10_minhash_near_dedup": shipped(queries_d.op10_minhash_near_dedup),
 }
 
 ORACLES = {
