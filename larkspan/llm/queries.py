@@ -32,6 +32,7 @@ QUERIES = {
     "op5_lm_score": shipped(queries_c.op5_lm_score),
     "op6_quality_rules": shipped(queries_c.op6_quality_rules),
     "op7_sharding": shipped(queries_a.op7_sharding),
+    "op8_line_dedup": shipped(queries_d.op8_line_dedup),
     "op9_packing": shipped(queries_c.op9_packing),
     "op10_minhash_near_dedup": shipped(queries_d.op10_minhash_near_dedup),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import line_dedup, near_dedup
 from .keys import LAST
 
 
@@ -14,3 +14,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.classes(docs)
     doc_id = F.when(F.col("ord") < LAST, F.col("ord"))
     return out.select(doc_id.alias("doc_id"), F.when(F.col("class_id") < LAST, F.col("class_id")).alias("class_id"), F.col("texts").alias("class_texts"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = line_dedup.dedup(docs.select("doc_id", "text"))
+    count = [F.greatest(F.col(c), F.lit(0)).cast("long").alias(n) for c, n in (("__lines", "n_lines"), ("__kept", "n_kept"))]
+    return out.select("doc_id", *count, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
