@@ -1,0 +1 @@
+"""Larkspan: analytics queries and data operators as plain Spark jobs."""
