@@ -24,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
-        root = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        # The setting cannot change in a running application; the context's folder can.
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='larkspan-')}")
+        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
 
 
