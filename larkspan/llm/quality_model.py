@@ -28,7 +28,7 @@ from .scratch import Scratch
 
 #: Labelled rows the model is fitted on, at most.
 MAX_ROWS = 40_000
-TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 80, 4, 64, 0.15, 8.0, 1.0
+TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 80, 4, 64, 0.15, 2.0, 1.0
 
 
 class Trees:

@@ -20,6 +20,8 @@ their own, in order of their text's fingerprint; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,7 +50,16 @@ def _draw(key: Column, shard: int, weight: float) -> Column:
     return -F.log((bits + 0.5) / float(1 << 53)) / weight
 
 
-def _least_of(draws: str, size: int, group: int) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used.
+
+    A plain chain of columns would be multiplied out where a filter on the result
+    is pushed down.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _least_of(draws: Column, size: int, group: int) -> Column:
     """The least draw of each run of ``group`` children."""
     return F.array(*[F.array_min(F.slice(draws, i + 1, group)) for i in range(0, size, group)])
 
@@ -58,18 +69,25 @@ def _winner(draws: Column) -> Column:
     return (F.array_position(draws, F.array_min(draws)) - 1).cast("int")
 
 
+def _child(parent: Column, draws: Column, group: int) -> Column:
+    """The winner among the children of ``parent``."""
+    return parent * group + _winner(F.slice(draws, parent * group + 1, group))
+
+
 def place(df: DataFrame, shards: int, weights: dict[int, float] | None = None, key: str = "doc_id", prefix: str = "") -> DataFrame:
     """Add columns region, rack and shard (with a prefix) by descending the tree."""
     hashed = F.coalesce(F.col(key).cast("string"), F.lit(""))
     racks = -(-shards // SHARDS_PER_RACK)
-    region, rack, shard = (f"{prefix}{x}" for x in ("region", "rack", "shard"))
-    df = df.withColumn("__shards", F.array(*[_draw(hashed, i, (weights or {}).get(i, 1.0)) for i in range(shards)]))
-    df = df.withColumn("__racks", _least_of("__shards", shards, SHARDS_PER_RACK))
-    df = df.withColumn("__regions", _least_of("__racks", racks, RACKS_PER_REGION))
-    df = df.withColumn(region, _winner(F.col("__regions")))
-    df = df.withColumn(rack, F.col(region) * RACKS_PER_REGION + _winner(F.slice("__racks", F.col(region) * RACKS_PER_REGION + 1, RACKS_PER_REGION)))
-    df = df.withColumn(shard, F.col(rack) * SHARDS_PER_RACK + _winner(F.slice("__shards", F.col(rack) * SHARDS_PER_RACK + 1, SHARDS_PER_RACK)))
-    return df.drop("__shards", "__racks", "__regions")
+    leaves = F.array(*[_draw(hashed, i, (weights or {}).get(i, 1.0)) for i in range(shards)])
+
+    def descend(shard_draws: Column) -> Column:
+        return _let(_least_of(shard_draws, shards, SHARDS_PER_RACK), lambda rack_draws: _let(
+            _winner(_least_of(rack_draws, racks, RACKS_PER_REGION)), lambda region: _let(
+                _child(region, rack_draws, RACKS_PER_REGION), lambda rack: F.struct(
+                    region.alias("region"), rack.alias("rack"), _child(rack, shard_draws, SHARDS_PER_RACK).alias("shard")))))
+
+    at = df.withColumn("__place", _let(leaves, descend))
+    return at.withColumns({f"{prefix}{x}": F.col(f"__place.{x}") for x in ("region", "rack", "shard")}).drop("__place")
 
 
 def with_slots(df: DataFrame, order: list[str], rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

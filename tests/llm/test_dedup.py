@@ -89,7 +89,9 @@ def test_near_dedup_joins_copies_and_near_copies(frame, corpus):
     shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
     for i in range(len(corpus)):
         for j in range(i):
-            if len(words[i]) >= 5 and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+            alike = len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+            # A text and the same text twice over have equal k-mers but are far apart by edits.
+            if len(words[i]) >= 5 and alike and distance(words[i], words[j]) <= 0.2 * max(len(words[i]), len(words[j])):
                 assert found[i] == found[j]
             if (corpus[i] or "") == (corpus[j] or ""):
                 assert found[i] == found[j]

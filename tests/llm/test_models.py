@@ -49,6 +49,7 @@ def test_language_probabilities_sum_to_one():
 
 
 def test_quality_held_out(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # 0.001 has too few labels to learn from
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     got = quality_model.score(docs, labels, remainder(3) != 1).join(labels, "doc_id").where(remainder(3) == 1).collect()
     assert np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in got]) > 0.9
