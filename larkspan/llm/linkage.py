@@ -1,7 +1,8 @@
 """Linking rows that share a bucket, without pairs of all rows in a bucket.
 
 A bucket's members are first compared with one leader each.  Members found alike
-form components; a bucket that lies in one component needs no more comparisons.
+form components, and in further rounds each two components that meet in a bucket
+try one more leader's edge.  A bucket that lies in one component needs no more.
 In the others the largest component stays as it is, and every member outside it
 is compared with all members of other components.  So each pair of bucket mates
 is either in one component or compared: no link is lost, and a large group of
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Rounds of leaders' edges between components; what they leave apart is compared in full.
+ROUNDS = 2
+
 
 def components(work: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """id and root (the least id of its component) for each id that is not a root.
@@ -59,16 +63,31 @@ def link(work: Scratch, members: DataFrame, verify: Callable[[DataFrame, str], D
 
     ``members`` has columns key, id (of the distinct things) and size; sizes must
     be within a fifth of each other.  ``verify`` takes distinct pairs (a, b) and
-    a name, and returns those that are alike.
+    a name, and returns those that are alike; all ids it is asked about are in the
+    table ``members`` of ``work``.
     """
     leaders = members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.min_by("size", "id").alias("lead_size"))
     leaders = work.save(leaders.where("lead < last").drop("last"), "leaders")
-    rows = work.save(members.join(leaders, "key"), "members")
+    # Shuffled at every size: buckets grow with the rows.
+    rows = work.save(members.join(leaders.hint("merge"), "key"), "members")
     similar = "least({0}, {1}) >= 0.8 * greatest({0}, {1})".format
-    best = rows.where("id > lead").where(similar("size", "lead_size")).groupBy("id", "lead").agg(F.count("*").alias("n"))
-    best = best.groupBy("id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("a")).select("a", F.col("id").alias("b"))
-    first = verify(work.save(best, "first"), "first")
-    found = components(work, first, "one")
+    stars = rows.where("id > lead").where(similar("size", "lead_size")).groupBy("id", "lead").agg(F.count("*").alias("n"))
+    stars = work.save(stars.select(F.col("lead").alias("a"), F.col("id").alias("b"), "n"), "stars")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    first = verify(work.save(best, "best-0"), "round-0")
+    found = components(work, first, "round-0")
+    for step in range(1, ROUNDS + 1):
+        tried = work.spark.read.parquet(f"{work.root}/best-{step - 1}").select("a", "b")
+        stars = stars.join(tried, ["a", "b"], "left_anti")
+        near, far = (found.select(F.col("id").alias(f"{x}_id"), F.col("root").alias(f"{x}_root")) for x in ("n", "f"))
+        apart = stars.join(near, F.col("a") == F.col("n_id"), "left").join(far, F.col("b") == F.col("f_id"), "left")
+        apart = apart.select("a", "b", "n", F.coalesce("n_root", "a").alias("u"), F.coalesce("f_root", "b").alias("v")).where("u <> v")
+        one = apart.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max_by(F.struct("a", "b"), F.struct("n", -F.col("a"), -F.col("b"))).alias("e"))
+        more = verify(work.save(one.select("e.a", "e.b"), f"best-{step}"), f"round-{step}")
+        if not more.head(1):
+            break
+        first = first.unionByName(more)
+        found = components(work, first, f"round-{step}")
 
     labelled = rows.select("key", "id", "size").join(found, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("comp"))
     labelled = work.save(labelled, "labelled")
