@@ -246,8 +246,9 @@ def pack(docs: DataFrame, length: int = LENGTH, grid: int = GRID, paths: tuple[s
     # A few rows for each class: the patterns in the solution are at most as many as classes.
     table = F.broadcast(spark.createDataFrame(rows, "p_cls int, lo long, hi long, k long, first long"))
 
-    buckets = max(1, sum(histogram.values()) // (BUCKET_ROWS * max(1, len(histogram)))) * 4
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    # Each class has buckets for its own number of pieces, so one that holds many is dealt widely.
+    buckets = F.array(*[F.lit(histogram.get(c, 0) // BUCKET_ROWS + 4).cast("long") for c in range(length // grid + 1)])
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.element_at(buckets, F.col("cls") + 1)))
     sizes = dealt.groupBy(F.col("cls").alias("s_cls"), F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("s_cls").orderBy("s_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("s_cls", "s_bucket", before.alias("before"))
