@@ -148,6 +148,43 @@ def test_line_dedup_against_brute_force(frame, corpus):
     assert len(kept) >= 10
 
 
+@pytest.mark.parametrize("crowd", [line_dedup.CROWD, 1])
+def test_line_dedup_finds_all_alike_lines(frame, monkeypatch, crowd):
+    import random
+
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "LONG", 50)
+    r = random.Random(5)
+    vocab = [f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(5000)]
+    lines = []
+    for n in [4, 5, 6, 8, 10, 11, 15, 20, 25, 40, 48, 55, 61, 70, 100, 120] * 4:
+        one = [r.choice(vocab) for _ in range(n)]
+        two = list(one)
+        for _ in range(max(1, n // 5)):
+            at = r.randrange(len(two))
+            two[at : at + r.randint(0, 1)] = [r.choice(vocab)] * r.randint(0, 1)
+        lines += [tuple(one), tuple(two)]
+    lines = [x for x in dict.fromkeys(lines) if x]
+    docs = frame([" ".join(x) for x in lines])
+    root = list(range(len(lines)))
+
+    def end(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i in range(len(lines)):
+        for j in range(i):
+            most = 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
+            if abs(len(lines[i]) - len(lines[j])) <= most and distance(lines[i], lines[j]) <= most:
+                links += 1
+                u, v = end(i), end(j)
+                root[max(u, v)] = min(u, v)
+    assert links >= 40
+    assert sorted(x["ord"] for x in line_dedup.kept_lines(docs).collect()) == [i for i in range(len(lines)) if root[i] == i]
+
+
 def test_components_of_a_long_chain(spark):
     from larkspan.llm.linkage import components
     from larkspan.llm.scratch import Scratch
