@@ -115,6 +115,24 @@ def test_near_dedup_keeps_one_of_rows_with_one_id(frame):
     assert near_dedup.keep_one(docs).count() == 2
 
 
+@pytest.mark.parametrize(("sizes", "least"), [([5, 6, 8, 10, 15, 20, 25, 32, 40], 1.0), ([60, 100, 200, 400], 0.85)])
+def test_near_dedup_recall_by_edit_similarity(frame, sizes, least):
+    import random
+
+    r = random.Random(9)
+    texts = []
+    for n in sizes * (120 // len(sizes)):
+        one = [f"v{r.randrange(30_000)}" for _ in range(n)]
+        two = list(one)
+        for at in r.sample(range(n), n // 5):
+            two[at] = f"u{r.randrange(30_000)}"
+        texts += [" ".join(one), " ".join(two)]
+    found = {x["ord"]: x["class_id"] for x in near_dedup.classes(frame(texts)).collect()}
+    hits = [found[i] == found[i + 1] for i in range(0, len(texts), 2)]
+    print(f"recall at {sizes} words: {sum(hits)} of {len(hits)}")
+    assert sum(hits) >= least * len(hits)
+
+
 def normal(line):
     return tuple(split(line.lower()))
 
