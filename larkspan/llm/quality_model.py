@@ -115,7 +115,9 @@ def sampled(labels: DataFrame, train: Column, max_rows: int = MAX_ROWS) -> DataF
 def train(stats: DataFrame, labels: DataFrame, rows: Column, max_rows: int = MAX_ROWS) -> Trees:
     """Fit on the statistics of the labelled documents among ``rows``."""
     picked = F.broadcast(sampled(labels, rows, max_rows))  # at most max_rows small rows
-    found = stats.join(picked, "doc_id").select("doc_id", "x", F.col("quality").cast("double").alias("y")).limit(2 * max_rows).toArrow().sort_by("doc_id")
+    found = stats.join(picked, "doc_id").select("doc_id", "x", F.col("quality").cast("double").alias("y"))
+    # Rows of repeated doc_ids can be more; a hash of what is in them picks the same ones in every run.
+    found = found.orderBy(F.xxhash64("doc_id", "x", "y"), "doc_id", "x", "y").limit(2 * max_rows).toArrow().sort_by("doc_id")
     width = len(docstats.FEATURES)
     x = np.asarray(found["x"].combine_chunks().flatten(), np.float32).reshape(-1, width)
     return fit(x, np.asarray(found["y"], np.float64))

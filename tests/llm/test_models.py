@@ -153,3 +153,15 @@ def test_log_filter_recalls_levels():
     found = lm_score.LogFilter(bits, data).levels(keys)
     assert (found >= q).all()
     assert (found == q).mean() > 0.99
+
+
+def test_quality_training_rows_do_not_depend_on_row_order(spark, frame, monkeypatch):
+    monkeypatch.setattr(quality_model, "fit", lambda x, y: (x.tolist(), y.tolist()))
+    docs = frame([f"text {'long ' * k}end" for k in range(60)], [k % 3 for k in range(60)])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    got = []
+    for order in (F.asc("text"), F.desc("text")):
+        rows = docs.coalesce(1).sortWithinPartitions(order)
+        got.append(quality_model.train(quality_model.statistics(rows), labels, F.lit(True), max_rows=4))
+    assert got[0] == got[1]
+    assert len(got[0][1]) == 8
