@@ -1,25 +1,40 @@
 """Linking rows that share a bucket, without pairs of all rows in a bucket.
 
-A bucket's members are first compared with one leader each.  Members found alike
-form components, and in further rounds each two components that meet in a bucket
-try one more leader's edge.  A bucket that lies in one component needs no more.
-In the others the largest component stays as it is, and every member outside it
-is compared with all members of other components.  So each pair of bucket mates
-is either in one component or compared: no link is lost, and a large group of
-near copies costs one comparison a member.
+Every bucket has a leader, a member picked by the bucket's key, so one row has other
+leaders in other buckets.  Work is in proportion to the rows of the buckets:
+
+1. Each row is compared with the leader it shares most buckets with.  Rows found
+   alike form components.
+2. In buckets of more than CROWD rows that lie in several components, a few members
+   of every component are compared with members of the bucket's largest one.  This is
+   repeated with other members until a round adds no link, so a large group of near
+   copies costs a few comparisons a row.
+3. In buckets of up to CROWD rows all pairs of rows from different components are
+   compared: at most CROWD - 1 a row.
+4. Crowded buckets in which no component has half of the rows hold unlike rows that
+   share something common.  They are split by further keys of their rows, and the
+   parts are treated as buckets.
+
+So a pair that meets in a bucket of up to CROWD rows, or in such a part, is never
+missed; the others are joined through the members they are like.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rounds of leaders' edges between components; what they leave apart is compared in full.
-ROUNDS = 2
+#: The most rows of a bucket whose rows are all compared.
+CROWD = 16
+#: Members of a component that are compared in a round.
+TRIES = 3
+
+Verify = Callable[[DataFrame, str], DataFrame]
 
 
 def components(work: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -58,43 +73,117 @@ def components(work: Scratch, edges: DataFrame, name: str) -> DataFrame:
             return found
 
 
-def link(work: Scratch, members: DataFrame, verify: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """id and root for members linked by verified pairs of bucket mates.
+def shared(work: Scratch, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (key, id and others) of keys that two rows or more have, with their number n and a leader."""
+    # The id next to the key bit by bit is as good as a random one, and takes one long to find.
+    pick = F.min(F.col("key").bitwiseXOR(F.col("id"))).bitwiseXOR(F.col("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), pick.alias("lead")).where("n > 1")
+    # Shuffled at every size: buckets grow with the rows.
+    return work.save(rows.join(work.save(counts, f"{name}-counts").hint("merge"), "key"), f"{name}-rows")
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.withColumnRenamed("root", "comp_root"), "id", "left").withColumn("comp", F.coalesce("comp_root", "id")).drop("comp_root")
+
+
+def _joined(work: Scratch, found: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """The components with those that ``links`` (a, b) connect made one."""
+    if found is None:
+        return components(work, links, name)
+    left, right = (found.select(F.col("id").alias(f"{x}_id"), F.col("root").alias(f"{x}_root")) for x in ("n", "f"))
+    ends = links.join(left, F.col("a") == F.col("n_id"), "left").join(right, F.col("b") == F.col("f_id"), "left")
+    ends = ends.select(F.coalesce("n_root", "a").alias("u"), F.coalesce("f_root", "b").alias("v")).where("u <> v")
+    new = components(work, ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), name)
+    onward = new.select(F.col("id").alias("r"), F.col("root").alias("rr"))
+    old = found.join(onward, F.col("root") == F.col("r"), "left").select("id", F.coalesce("rr", "root").alias("root"))
+    return work.save(old.unionByName(new), f"{name}-all")
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+class _Tried:
+    """Pairs that were compared, so that none is twice."""
+
+    def __init__(self, work: Scratch, verify: Verify):
+        self.work, self.verify, self.tables = work, verify, []
+
+    def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The links among those of ``pairs`` (a, b) that are new."""
+        if self.tables:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.tables), ["a", "b"], "left_anti")
+        pairs = self.work.save(pairs, f"{name}-pairs")
+        self.tables.append(pairs)
+        return self.work.save(self.verify(pairs, name), f"{name}-links")
+
 
-    ``members`` has columns key, id (of the distinct things) and size; sizes must
-    be within a fifth of each other.  ``verify`` takes distinct pairs (a, b) and
-    a name, and returns those that are alike; all ids it is asked about are in the
-    table ``members`` of ``work``.
+def _parts(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
+    """The components of each bucket with their rows and some of their members, other ones at each step."""
+    seeds = [F.xxhash64("key", F.lit(step * TRIES + t)) for t in range(TRIES)]
+    reps = [F.min(s.bitwiseXOR(F.col("id"))).bitwiseXOR(s).alias(f"rep{t}") for t, s in enumerate(seeds)]
+    return _labelled(rows, found).groupBy("key", "comp").agg(F.count("*").alias("rows"), *reps)
+
+
+def _round(work: Scratch, rows: DataFrame, found: DataFrame, step: int, name: str) -> DataFrame:
+    """Pairs between the largest component of each bucket and the others."""
+    parts = work.save(_parts(rows, found, step), f"{name}-parts")
+    names = [f"rep{t}" for t in range(TRIES)]
+    tops = parts.groupBy("key").agg(F.max_by(F.struct("comp", *names), F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    both = parts.join(tops, "key").where("comp <> top.comp")
+    tries = F.array(*(F.struct(F.lit(t).alias("t"), *_ordered(F.col(x), F.col(f"top.{x}"))) for t, x in enumerate(names)))
+    each = both.select(F.least("comp", "top.comp").alias("u"), F.greatest("comp", "top.comp").alias("v"), F.explode(tries).alias("try"))
+    one = each.groupBy("u", "v", "try.t").agg(F.min(F.struct("try.a", "try.b")).alias("pair"))
+    return one.select("pair.a", "pair.b").distinct()
+
+
+def _similar(x: str, y: str) -> str:
+    return f"least({x}, {y}) >= 0.8 * greatest({x}, {y})"
+
+
+def _linked(work: Scratch, rows: DataFrame, found: DataFrame | None, tried: _Tried, name: str) -> DataFrame:
+    """Steps 1 to 3 for the rows of some buckets."""
+    stars = rows.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("n"))
+    best = stars.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    links = tried(best.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), f"{name}-lead")
+    found = _joined(work, found, links, f"{name}-lead")
+
+    crowded, step = rows.where(F.col("n") > CROWD), 0
+    if crowded.head(1):
+        while True:
+            links = tried(_round(work, crowded, found, step, f"{name}-{step}"), f"{name}-{step}")
+            if not links.head(1):
+                break
+            found = _joined(work, found, links, f"{name}-{step}")
+            step += 1
+
+    small = work.save(_labelled(rows.where(F.col("n") <= CROWD), found).select("key", "id", "size", "comp"), f"{name}-small")
+    mixed = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    small = work.save(small.join(mixed, "key"), f"{name}-mixed")
+    other = small.select("key", F.col("id").alias("o_id"), F.col("size").alias("o_size"), F.col("comp").alias("o_comp"))
+    pairs = small.join(other, "key").where("comp < o_comp").where(_similar("size", "o_size"))
+    links = tried(pairs.select(*_ordered(F.col("id"), F.col("o_id"))).distinct(), f"{name}-rest")
+    return _joined(work, found, links, f"{name}-rest")
+
+
+def link(work: Scratch, things: DataFrame, verify: Verify, split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id and root for things linked by verified pairs of bucket mates.
+
+    ``things`` has columns id, size and keys; the sizes of alike things are within a
+    fifth of each other.  ``verify`` takes distinct pairs (a, b) and a name, and
+    returns those that are alike; all ids it is asked about are in the table
+    ``0-rows`` of ``work``.  ``split`` takes rows (key, pos of the key, id, size) of
+    crowded buckets and returns rows with more keys.
     """
-    leaders = members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.min_by("size", "id").alias("lead_size"))
-    leaders = work.save(leaders.where("lead < last").drop("last"), "leaders")
-    # Shuffled at every size: buckets grow with the rows.
-    rows = work.save(members.join(leaders.hint("merge"), "key"), "members")
-    similar = "least({0}, {1}) >= 0.8 * greatest({0}, {1})".format
-    stars = rows.where("id > lead").where(similar("size", "lead_size")).groupBy("id", "lead").agg(F.count("*").alias("n"))
-    stars = work.save(stars.select(F.col("lead").alias("a"), F.col("id").alias("b"), "n"), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    first = verify(work.save(best, "best-0"), "round-0")
-    found = components(work, first, "round-0")
-    for step in range(1, ROUNDS + 1):
-        tried = work.spark.read.parquet(f"{work.root}/best-{step - 1}").select("a", "b")
-        stars = stars.join(tried, ["a", "b"], "left_anti")
-        near, far = (found.select(F.col("id").alias(f"{x}_id"), F.col("root").alias(f"{x}_root")) for x in ("n", "f"))
-        apart = stars.join(near, F.col("a") == F.col("n_id"), "left").join(far, F.col("b") == F.col("f_id"), "left")
-        apart = apart.select("a", "b", "n", F.coalesce("n_root", "a").alias("u"), F.coalesce("f_root", "b").alias("v")).where("u <> v")
-        one = apart.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max_by(F.struct("a", "b"), F.struct("n", -F.col("a"), -F.col("b"))).alias("e"))
-        more = verify(work.save(one.select("e.a", "e.b"), f"best-{step}"), f"round-{step}")
-        if not more.head(1):
-            break
-        first = first.unionByName(more)
-        found = components(work, first, f"round-{step}")
-
-    labelled = rows.select("key", "id", "size").join(found, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("comp"))
-    labelled = work.save(labelled, "labelled")
-    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("major"), F.count("*").alias("parts"))
-    mixed = work.save(labelled.join(work.save(parts.where("parts > 1").drop("parts"), "parts"), "key"), "mixed")
-    minor = mixed.where("comp <> major").select("key", F.col("id").alias("m_id"), F.col("size").alias("m_size"), F.col("comp").alias("m_comp"))
-    apart = mixed.join(minor, "key").where("comp <> m_comp AND (comp = major OR id < m_id)").where(similar("size", "m_size"))
-    apart = apart.select(F.least("id", "m_id").alias("a"), F.greatest("id", "m_id").alias("b")).distinct()
-    second = verify(work.save(apart, "second"), "second")
-    return components(work, first.unionByName(second), "two")
+    tried = _Tried(work, verify)
+    rows = shared(work, things.select("id", "size", F.posexplode("keys").alias("pos", "key")), "0")
+    found = _linked(work, rows, None, tried, "0")
+    crowded = rows.where(F.col("n") > CROWD)
+    if not crowded.head(1):
+        return found
+    most = _labelled(crowded, found).groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max("rows").alias("most"), F.sum("rows").alias("all"))
+    apart = work.save(most.where("2 * most < all").select("key"), "apart")
+    if not apart.head(1):
+        return found
+    more = shared(work, split(crowded.join(apart, "key").select("key", "pos", "id", "size")).select("key", "id", "size"), "1")
+    return _linked(work, more, found, tried, "1")

@@ -18,6 +18,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = line_dedup.dedup(docs.select("doc_id", "text"))
-    count = [F.greatest(F.col(c), F.lit(0)).cast("long").alias(n) for c, n in (("__lines", "n_lines"), ("__kept", "n_kept"))]
+    out = line_dedup.dedup(docs.select("doc_id", "text"), n_lines="n_lines", n_kept="n_kept")
+    count = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_lines", "n_kept")]
     return out.select("doc_id", *count, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

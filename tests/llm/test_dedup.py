@@ -5,7 +5,7 @@ from itertools import pairwise
 
 import pytest
 
-from larkspan.llm import line_dedup, near_dedup, substring_dedup
+from larkspan.llm import line_dedup, linkage, near_dedup, substring_dedup
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -166,41 +166,89 @@ def test_line_dedup_against_brute_force(frame, corpus):
     assert len(kept) >= 10
 
 
-@pytest.mark.parametrize("crowd", [line_dedup.CROWD, 1])
-def test_line_dedup_finds_all_alike_lines(frame, monkeypatch, crowd):
+def alike_lines(lines):
+    """All pairs at a word edit similarity of 0.8, found by the words they must share."""
+    from collections import Counter, defaultdict
+
+    often = Counter(w for x in lines for w in set(x))
+    index, pairs = defaultdict(list), []
+    for i in sorted(range(len(lines)), key=lambda i: len(lines[i])):
+        x, seen, near = lines[i], Counter(), set()
+        marked = []
+        for w in x:
+            seen[w] += 1
+            marked.append((often[w], w, seen[w]))
+        marked.sort()
+        most = int(0.2 * len(x) + 1e-9)
+        for w in marked[: most + 1]:
+            near.update(index[w])
+        codes = {w: k for k, w in enumerate(dict.fromkeys(x))}
+        for j in near:
+            y = lines[j]
+            if len(y) >= len(x) - most:
+                other = [codes.setdefault(w, len(codes)) for w in y]
+                if near_dedup.banded_distance([codes[w] for w in x], other, most) <= most:
+                    pairs.append((min(i, j), max(i, j)))
+        for w in marked[: int(0.25 * len(x) + 1e-9) + 1]:
+            index[w].append(i)
+    return pairs
+
+
+def groups_of(n, pairs):
+    root = list(range(n))
+
+    def end(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        u, v = end(i), end(j)
+        root[max(u, v)] = min(u, v)
+    return [end(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("crowd", [linkage.CROWD, 2])
+def test_line_dedup_recall(frame, monkeypatch, crowd):
     import random
 
-    monkeypatch.setattr(line_dedup, "CROWD", crowd)
-    monkeypatch.setattr(line_dedup, "LONG", 50)
+    monkeypatch.setattr(linkage, "CROWD", crowd)
     r = random.Random(5)
     vocab = [f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(5000)]
     lines = []
     for n in [4, 5, 6, 8, 10, 11, 15, 20, 25, 40, 48, 55, 61, 70, 100, 120] * 4:
         one = [r.choice(vocab) for _ in range(n)]
         two = list(one)
-        for _ in range(max(1, n // 5)):
+        for _ in range(max(1, n // 10)):
             at = r.randrange(len(two))
             two[at : at + r.randint(0, 1)] = [r.choice(vocab)] * r.randint(0, 1)
         lines += [tuple(one), tuple(two)]
     lines = [x for x in dict.fromkeys(lines) if x]
-    docs = frame([" ".join(x) for x in lines])
-    root = list(range(len(lines)))
-
-    def end(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    links = 0
-    for i in range(len(lines)):
-        for j in range(i):
-            most = 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
-            if abs(len(lines[i]) - len(lines[j])) <= most and distance(lines[i], lines[j]) <= most:
-                links += 1
-                u, v = end(i), end(j)
-                root[max(u, v)] = min(u, v)
-    assert links >= 40
-    assert sorted(x["ord"] for x in line_dedup.kept_lines(docs).collect()) == [i for i in range(len(lines)) if root[i] == i]
+    pairs = alike_lines(lines)
+    assert sorted(pairs) == sorted((j, i) for i in range(len(lines)) for j in range(i) if distance(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)
+    root = groups_of(len(lines), pairs)
+    gone = {i for i in range(len(lines)) if root[i] != i}
+    kept = {x["ord"] for x in line_dedup.kept_lines(frame([" ".join(x) for x in lines])).collect()}
+    assert len(gone) >= 40
+    assert set(range(len(lines))) - kept <= gone
+    assert len(gone - kept) >= 0.95 * len(gone)
+
+
+def test_line_dedup_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    first = {}
+    for d, t in sorted((r["doc_id"], r["text"]) for r in docs.collect()):
+        for k, x in enumerate(t.split("\n")):
+            if normal(x):
+                first.setdefault(normal(x), (d, k))
+    lines = list(first)
+    root = groups_of(len(lines), alike_lines(lines))
+    gone = {i for i in range(len(lines)) if root[i] != i}
+    kept = {(r["ord"], r["at"]) for r in line_dedup.kept_lines(docs).collect()}
+    left = {i for i, x in enumerate(lines) if first[x] in kept}
+    print(f"recall of lines: {len(gone - left)} of {len(gone)}")
+    assert set(range(len(lines))) - left <= gone
+    assert len(gone - left) >= 0.95 * len(gone)
 
 
 def test_components_of_a_long_chain(spark):
