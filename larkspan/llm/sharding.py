@@ -1,13 +1,14 @@
 """Sharding by a weighted hash tree of regions, racks and shards.
 
-Every shard draws an exponential variate from the hash of (doc_id, shard) and
-divides it by the shard's weight; the draw of a rack is the least draw below it
-and the draw of a region the least of its racks.  The least of independent
-exponentials is exponential with the summed weight, so a node wins among its
-siblings with probability in proportion to the weight below it: descending
-region, rack and shard is a weighted draw at every level.  A changed weight
-alters the draws of its own path only, so rows move into or out of the subtrees
-that changed and nowhere else; one more shard takes rows only into itself.
+A row descends the tree.  At each level every child of its node draws an exponential
+variate from the hash of (doc_id, level, child), divides it by the summed weight below
+the child, and the least draw wins: a weighted draw.  Only the children of the winners
+draw, so a row costs the tree's depth times its fan-out and not the number of shards.
+
+A changed weight alters the draws on the path from the root to its shard and no others,
+so a row moves only into, out of or within the largest subtree whose weight changed: the
+shard's region, or its rack where the region's sum stays.  A shard that opens a region of
+its own, as the 25th does here, takes rows only into itself.
 
 Slots number the rows of a shard without gaps.  They are dealt by counting rows
 in many buckets of a shard and numbering inside a bucket, so no task sorts a
@@ -15,7 +16,8 @@ whole shard.
 
 Defined cases: a null text has no bytes, size 8 and checksum 0; a null doc_id is
 hashed as an empty key; rows with one doc_id share a shard and get slots of
-their own, in order of their text's fingerprint; an empty table gives no rows.
+their own, in order of their text's fingerprint; an empty table gives no rows;
+weights must be numbers of 0 or more, one at least above 0.
 """
 
 from __future__ import annotations
@@ -42,12 +44,10 @@ def topology(shard: int) -> tuple[int, int]:
     return shard // (RACKS_PER_REGION * SHARDS_PER_RACK), shard // SHARDS_PER_RACK
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential variate with the shard's weight as its rate."""
-    if weight <= 0:
-        return F.lit(float("inf"))
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11).cast("double")
-    return -F.log((bits + 0.5) / float(1 << 53)) / weight
+def _draw(key: Column, level: int, node: Column, weight: Column) -> Column:
+    """An exponential variate of a node with its weight as the rate; infinite without weight."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node.cast("int")), 11).cast("double")
+    return F.when(weight > 0, -F.log((bits + 0.5) / float(1 << 53)) / weight).otherwise(F.lit(float("inf")))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,34 +59,27 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _least_of(draws: Column, size: int, group: int) -> Column:
-    """The least draw of each run of ``group`` children."""
-    return F.array(*[F.array_min(F.slice(draws, i + 1, group)) for i in range(0, size, group)])
-
-
-def _winner(draws: Column) -> Column:
-    """Where the least draw is, from 0; ties go to the first."""
-    return (F.array_position(draws, F.array_min(draws)) - 1).cast("int")
-
-
-def _child(parent: Column, draws: Column, group: int) -> Column:
-    """The winner among the children of ``parent``."""
-    return parent * group + _winner(F.slice(draws, parent * group + 1, group))
+def _winner(key: Column, level: int, first: Column, weights: list[float], fan: int) -> Column:
+    """The node with the least draw among ``fan`` nodes from ``first``; ties go to the first."""
+    table = F.array(*map(F.lit, weights))
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(fan - 1)), lambda i: first + i)
+    draws = F.transform(nodes, lambda n: _draw(key, level, n, F.coalesce(F.get(table, n), F.lit(0.0))))
+    return first + _let(draws, lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
 
 def place(df: DataFrame, shards: int, weights: dict[int, float] | None = None, key: str = "doc_id", prefix: str = "") -> DataFrame:
     """Add columns region, rack and shard (with a prefix) by descending the tree."""
     hashed = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    racks = -(-shards // SHARDS_PER_RACK)
-    leaves = F.array(*[_draw(hashed, i, (weights or {}).get(i, 1.0)) for i in range(shards)])
-
-    def descend(shard_draws: Column) -> Column:
-        return _let(_least_of(shard_draws, shards, SHARDS_PER_RACK), lambda rack_draws: _let(
-            _winner(_least_of(rack_draws, racks, RACKS_PER_REGION)), lambda region: _let(
-                _child(region, rack_draws, RACKS_PER_REGION), lambda rack: F.struct(
-                    region.alias("region"), rack.alias("rack"), _child(rack, shard_draws, SHARDS_PER_RACK).alias("shard")))))
-
-    at = df.withColumn("__place", _let(leaves, descend))
+    leaves = [float((weights or {}).get(i, 1.0)) for i in range(shards)]
+    racks = [sum(leaves[i : i + SHARDS_PER_RACK]) for i in range(0, shards, SHARDS_PER_RACK)]
+    regions = [sum(racks[i : i + RACKS_PER_REGION]) for i in range(0, len(racks), RACKS_PER_REGION)]
+    if min(leaves) < 0 or not sum(leaves) > 0:
+        raise ValueError("weights must be 0 or more, and one above 0")
+    path = _let(_winner(hashed, 0, F.lit(0), regions, len(regions)), lambda region: _let(
+        _winner(hashed, 1, region * RACKS_PER_REGION, racks, RACKS_PER_REGION), lambda rack: F.struct(
+            region.alias("region"), rack.alias("rack"),
+            _winner(hashed, 2, rack * SHARDS_PER_RACK, leaves, SHARDS_PER_RACK).alias("shard"))))
+    at = df.withColumn("__place", path)
     return at.withColumns({f"{prefix}{x}": F.col(f"__place.{x}") for x in ("region", "rack", "shard")}).drop("__place")
 
 

@@ -69,16 +69,59 @@ def test_shards(frame, corpus):
     assert sharding.shard_documents(frame([])).count() == 0
 
 
+def brute_place(doc_id, leaves):
+    """The descent in plain Python: the least weighted draw at each level."""
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(level, node, weight):
+        h = xxhash.xxh64_intdigest(("" if doc_id is None else str(doc_id)).encode(), 42)
+        for x in (level, node):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+        return -math.log(((h >> 11) + 0.5) / 2.0**53) / weight if weight > 0 else math.inf
+
+    def least(level, nodes, weight):
+        return min(nodes, key=lambda n: draw(level, n, weight(n)))
+
+    shards = len(leaves)
+    region = least(0, range(-(-shards // 8)), lambda n: sum(leaves[8 * n : 8 * n + 8]))
+    rack = least(1, range(2 * region, 2 * region + 2), lambda n: sum(leaves[4 * n : 4 * n + 4]))
+    return region, rack, least(2, range(4 * rack, 4 * rack + 4), lambda n: leaves[n] if n < shards else 0)
+
+
+@pytest.mark.parametrize(("shards", "weights"), [(24, {}), (25, {}), (24, {5: 3.5, 0: 0.0, 9: 0.25}), (1, {}), (7, {6: 9.0})])
+def test_places_are_those_of_a_plain_descent(spark, shards, weights):
+    docs = spark.createDataFrame([(None,), *((k,) for k in range(-3, 600))], "doc_id long")
+    leaves = [weights.get(i, 1.0) for i in range(shards)]
+    for r in sharding.place(docs, shards, weights).collect():
+        assert (r["region"], r["rack"], r["shard"]) == brute_place(r["doc_id"], leaves)
+
+
 def test_weights_move_rows_only_out_of_or_into_their_subtree(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text")
     even = sharding.place(docs, 24)
     counts = [r["count"] for r in even.groupBy("shard").count().collect()]
     assert len(counts) == 24
     assert max(counts) < 1.25 * min(counts)
-    heavy = sharding.place(even, 24, {5: 2.0}, prefix="new_")
-    assert {r["new_shard"] for r in heavy.where("shard <> new_shard").collect()} == {5}
-    gone = sharding.place(even, 24, {5: 0.0}, prefix="new_")
-    assert {r["shard"] for r in gone.where("shard <> new_shard").collect()} == {5}
+    # A region that grows takes rows from the others, and its other rows move only into the heavier child.
+    moved = sharding.place(even, 24, {5: 2.0}, prefix="new_").where("shard <> new_shard").collect()
+    assert {r["new_region"] for r in moved} == {0}
+    assert {r["new_rack"] for r in moved if r["region"] == 0 and r["rack"] != r["new_rack"]} == {1}
+    assert {r["new_shard"] for r in moved if r["rack"] == 1} == {5}
+    # A region that shrinks only gives rows.
+    moved = sharding.place(even, 24, {5: 0.0}, prefix="new_").where("shard <> new_shard").collect()
+    assert {r["region"] for r in moved} == {0}
+    # Weights that change places in a rack leave all else where it was.
+    moved = sharding.place(even, 24, {4: 1.5, 5: 0.5}, prefix="new_").where("shard <> new_shard").collect()
+    assert {(r["rack"], r["new_rack"]) for r in moved} == {(1, 1)}
+    # One more shard takes rows only into itself.
+    moved = sharding.place(even, 25, prefix="new_").where("shard <> new_shard").collect()
+    assert {r["new_shard"] for r in moved} == {24}
+    assert 0.8 < len(moved) / (20_000 / 25) < 1.2
+    with pytest.raises(ValueError, match="weights"):
+        sharding.place(docs, 2, {0: 0.0, 1: 0.0})
 
 
 def test_plan_uses_every_piece_once():
