@@ -2,30 +2,34 @@
 
 Every window of ten consecutive benchmark words is hashed; the set of windows is
 broadcast while it is small (its rows are counted first) and joined by shuffle
-beyond that.  Documents are scanned once: a document's window hashes are made in
-its row and probed in a bitmap of the benchmark's, the few that pass are exploded
-and joined, and a hit counts only if the words agree.  What leaves the scan are
-hits, so shuffles grow with contamination and not with the corpus.
+beyond that.  Documents are scanned once: each word is hashed once, and at each word
+the hash of the LEAD words from there is looked up in a bitmap of the windows' first
+words.  Only where it is set are the window hashes of all lengths made, exploded and
+joined, and a hit counts only if the words agree.  What leaves the scan are hits, so
+shuffles grow with contamination and not with the corpus.
 
 Defined cases: a null or empty text has no words and is clean; a benchmark item
 with fewer than ten words is one window of its own length, one without words is
-none; null item_ids or texts in the benchmark are ignored; repeated documents
-are judged alike, each row by itself; an empty benchmark leaves all clean.
+none; the words of a benchmark item without item_id are hits, but it is not counted or
+listed among the items; repeated documents are judged alike, each row by itself; an
+empty benchmark leaves all clean; a text is held whole in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keys import keyed
+from .keys import keyed, order_key, without
 from .scratch import Scratch
 
 WINDOW = 10
+#: Words at the head of a window that the bitmap knows.
+LEAD = 4
 #: Broadcast the windows up to this many (about 150 bytes each), else shuffle.
 MAX_BROADCAST_WINDOWS = 200_000
+#: Bits of the bitmap for each head of a window, and the most in all (a literal of 10 MB).
+BITS, MAX_BITS = 32, 1 << 25
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,77 +55,88 @@ def with_words(df: DataFrame, text: str = "text", lower: bool = True) -> DataFra
     return df.withColumn("parts", F.split(value, _OUTSIDE if lower else r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).withColumn("words", _inner(F.col("parts"))).drop("parts")
 
 
+def _hash(hashes: Column | str) -> Column:
+    """The hash of a run of words from their hashes."""
+    return F.xxhash64(hashes)
+
+
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """One row for each item and window: item_id, length, gram, h, window_id."""
-    items = with_words(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL")).where(F.size("words") > 0)
+    """One row for each item and window: item_id, length, gram, head, h, window_id."""
+    items = with_words(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")).where(F.size("words") > 0)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (size - 1))))
     grams = items.select("item_id", F.least(F.lit(size), F.size("words")).alias("length"), at.alias("at"), "words")
-    return grams.select("item_id", "length", F.slice("words", F.col("at"), F.col("length")).alias("gram")).withColumns({"h": F.xxhash64("gram"), "window_id": F.md5(F.array_join("gram", " "))})
+    grams = grams.select("item_id", "length", F.slice("words", F.col("at"), F.col("length")).alias("gram"))
+    grams = grams.withColumn("hashes", F.transform("gram", lambda w: F.xxhash64(w)))
+    return grams.select("item_id", "length", "gram", _hash(F.slice("hashes", 1, LEAD)).alias("head"), _hash("hashes").alias("h"), F.md5(F.array_join("gram", " ")).alias("window_id"))
 
 
-def _bitmap(grams: DataFrame, n: int) -> tuple[Column, int]:
-    """A Bloom filter with one probe over the windows' hashes, as a literal.
+def _bitmap(heads: DataFrame) -> tuple[Column, int]:
+    """A Bloom filter with one probe over the windows' heads, as a literal.
 
-    At most 2**22 bits (512 KB), so what the plan carries is bounded; a fuller
-    filter lets more candidates pass, which the join then decides.
+    Its size follows the number of heads up to MAX_BITS; a fuller filter lets more
+    candidates pass, which the join then decides.
     """
-    bits = 1 << min(22, max(6, (32 * n - 1).bit_length()))
-    at = F.pmod("h", F.lit(bits))
-    rows = grams.select(F.shiftright(at, 6).alias("i"), F.expr(f"shiftleft(1L, CAST(pmod(h, {bits}) % 64 AS INT))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
+    heads = heads.distinct()
+    bits = 1 << max(6, min(MAX_BITS, BITS * heads.count()).bit_length())
+    at = F.pmod("head", F.lit(bits))
+    rows = heads.select(F.shiftright(at, 6).alias("i"), F.expr(f"shiftleft(1L, CAST(pmod(head, {bits}) % 64 AS INT))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()  # at most bits / 64 rows
     longs = [0] * (bits // 64)
     for r in rows:
         longs[r["i"]] = r["b"]
     return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>"), bits
 
 
-def _probe(bitmap: Column, bits: int) -> Callable[[Column], Column]:
-    def passes(i: Column) -> Column:
-        at = F.pmod(F.element_at("hashes", i), F.lit(bits))
-        return F.getbit(F.element_at(bitmap, F.shiftright(at, 6).cast("int") + 1), (at % 64).cast("int")) == 1
-
-    return passes
+def _set_in(bitmap: Column, bits: int, head: Column) -> Column:
+    at = F.pmod(head, F.lit(bits))
+    return F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
 
 
-def _candidate(length: int) -> Callable[[Column], Column]:
-    return lambda i: F.struct((i - 1).alias("pos"), F.element_at("hashes", i).alias("h"), F.slice("words", i, length).alias("seen"))
+def _places(heads: Column, bitmap: Column, bits: int) -> Column:
+    return F.array_compact(F.transform(heads, lambda x, i: F.when(_set_in(bitmap, bits, x), i)))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, work: Scratch | None = None) -> DataFrame:
     """Where benchmark windows occur: ord, fp, pos (from 0), length, window_id.
 
     A window that several items have is reported once for each position.
     """
-    items = windows(benchmark, size)
-    grams = items.select("length", "gram", "h", "window_id").dropDuplicates(["window_id"])
-    lengths = [r["length"] for r in grams.select("length").distinct().collect()]  # at most ``size`` numbers
+    work = work or Scratch(docs.sparkSession, "decontaminate")
+    grams = work.save(windows(benchmark, size), "windows").drop("item_id").dropDuplicates(["window_id"])
+    lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())  # at most ``size`` numbers
     n = grams.limit(MAX_BROADCAST_WINDOWS + 1).count()
-    words = with_words(keyed(docs)).select("ord", "fp", "words")
-    found = None
-    for length in sorted(lengths) or [size]:
-        mine = grams.where(F.col("length") == length).select("length", "h", "window_id", "gram")
-        bitmap, bits = _bitmap(mine, n)
-        # size() and slice() both refer to words, so the split stays in a projection of its own;
-        # an outer explode has no inferred filter, which would repeat the split for each window.
-        hashed = words.withColumn("hashes", F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (length - 1))), lambda i: F.xxhash64(F.slice("words", i, length))))
-
-        kept = hashed.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("hashes")), _probe(bitmap, bits)))
-        kept = kept.select("ord", "fp", F.transform("at", _candidate(length)).alias("at"))
-        at = kept.select("ord", "fp", F.explode_outer("at").alias("at")).select("ord", "fp", "at.*")
-        hit = at.join(F.broadcast(mine) if n <= MAX_BROADCAST_WINDOWS else mine, "h").where(F.col("seen") == F.col("gram"))
-        hit = hit.select("ord", "fp", "pos", "length", "window_id")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    hashed = with_words(keyed(docs)).select("ord", "fp", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+
+    def places(leads: list[int]) -> Column:
+        """Words at which some window's first words stand; windows of fewer than LEAD words have heads of their own."""
+        found = []
+        for lead in leads:
+            bitmap, bits = _bitmap(grams.where(F.least("length", F.lit(LEAD)) == lead).select("head"))
+            heads = F.transform(F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - (lead - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *(F.get("hashes", i + j) for j in range(1, lead))))
+            found.append(_places(heads, bitmap, bits))
+        return F.array_distinct(F.concat(*found))
+
+    leads = sorted({min(LEAD, x) for x in lengths})
+    at = places(leads) if leads else F.array().cast("array<int>")
+    # size() and slice() both refer to words, so the split stays in a projection of its own;
+    # an outer explode has no inferred filter, which would repeat the split for each window.
+    at = hashed.withColumn("at", at).select("ord", "fp", "words", "hashes", F.explode_outer("at").alias("pos"))
+    each = F.array(*(F.when(F.col("pos") + x <= F.size("words"), F.struct(F.lit(x).alias("length"), _hash(F.slice("hashes", F.col("pos") + 1, F.lit(x))).alias("h"), F.slice("words", F.col("pos") + 1, F.lit(x)).alias("seen"))) for x in lengths or [size]))
+    at = at.select("ord", "fp", "pos", F.explode_outer(F.array_compact(each)).alias("w")).select("ord", "fp", "pos", "w.*")
+    mine = grams.select("length", "h", "window_id", "gram")
+    hit = at.join(F.broadcast(mine) if n <= MAX_BROADCAST_WINDOWS else mine, ["length", "h"]).where(F.col("seen") == F.col("gram"))
+    return work.save(hit.select("ord", "fp", "pos", "length", "window_id"), "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per hit document: ord, fp, n_hit, n_items, items (sorted strings)."""
-    found = Scratch(docs.sparkSession, "decontaminate").save(hits(docs, benchmark, size), "hits")
-    covered = found.select("ord", "fp", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("word"), "window_id")
-    members = windows(benchmark, size).select("window_id", "item_id").distinct()
+    work = Scratch(docs.sparkSession, "decontaminate")
+    found = hits(docs, benchmark, size, work)
+    covered = found.select("ord", "fp", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("word"))
+    members = work.spark.read.parquet(f"{work.root}/windows").where("item_id IS NOT NULL").select("window_id", "item_id").distinct()
     n_hit = covered.groupBy("ord", "fp", "word").agg(F.lit(1).alias("one")).groupBy("ord", "fp").agg(F.count("*").alias("n_hit"))
     items = found.select("ord", "fp", "window_id").distinct().join(members, "window_id").select("ord", "fp", F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy("ord", "fp").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
-    return n_hit.join(items, ["ord", "fp"])
+    return n_hit.join(items, ["ord", "fp"], "left")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -138,9 +153,9 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, in which no window occurs."""
-    bad = hits(docs, benchmark, size).select(F.col("ord").alias("__bad_ord"), F.col("fp").alias("__bad_fp")).distinct()
-    ord_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(9223372036854775807))
-    return docs.join(bad, (ord_ == bad["__bad_ord"]) & (F.xxhash64(docs["text"]) == bad["__bad_fp"]), "left_anti")
+    work = Scratch(docs.sparkSession, "decontaminate")
+    bad = work.save(hits(docs, benchmark, size, work).select("ord", "fp").distinct(), "bad")
+    return without(docs, bad, [order_key(), F.xxhash64("text")])
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

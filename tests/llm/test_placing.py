@@ -20,13 +20,13 @@ def brute_hits(docs, items):
     for text in docs:
         w, hit, who = norm(text), set(), set()
         for item, t in items:
-            b = norm(t) if item is not None else []
+            b = norm(t)
             size = min(10, len(b))
             grams = {tuple(b[k : k + size]) for k in range(max(1, len(b) - 9))} if b else set()
             for k in range(len(w) - size + 1 if b else 0):
                 if tuple(w[k : k + size]) in grams:
                     hit |= set(range(k, k + size))
-                    who.add(str(item))
+                    who |= {str(item)} if item is not None else set()
         out.append((len(w), len(hit), sorted(who)))
     return out
 
