@@ -31,9 +31,10 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", order_key().alias("ord"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
 
 
-def sent(keys: DataFrame) -> DataFrame:
-    """A written table of keys, marked for broadcast if it is counted and small."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys.hint("merge")
+def sent(keys: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table of keys, marked for broadcast if it is small by its number of ``rows``, counted if not known."""
+    rows = keys.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys.hint("merge")
 
 
 def spare_name(df: DataFrame, name: str) -> str:

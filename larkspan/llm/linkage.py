@@ -34,69 +34,80 @@ CROWD = 16
 #: Members of a component that are compared in a round.
 TRIES = 3
 
-Verify = Callable[[DataFrame, str], DataFrame]
+Verify = Callable[[DataFrame, int, str], DataFrame]
 
 
-def components(work: Scratch, edges: DataFrame, name: str) -> DataFrame:
+def components(work: Scratch, edges: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """id and root (the least id of its component) for each id that is not a root.
 
-    ``edges`` has columns a < b.  Every round hooks each id to its least smaller
-    neighbour and follows the hooks to their ends; what joins different ends are
-    the next round's edges.
+    ``edges`` has columns a < b, and at most ``most`` rows if that is known.  Every
+    round hooks each id to its least smaller neighbour and follows the hooks to their
+    ends; what joins different ends are the next round's edges.
     """
-    edges = work.save(edges.select("a", "b").distinct(), f"{name}-e0")
-    found, step = None, 0
-    while True:
-        hooks = work.save(edges.groupBy("b").agg(F.min("a").alias("p")), f"{name}-h{step}-0")
-        jump = 0
-        while True:
-            onward = hooks.select(F.col("b").alias("q"), F.col("p").alias("pp"))
-            moved = hooks.join(onward, hooks["p"] == onward["q"], "left")
-            jump += 1
-            hooks = work.save(moved.select("b", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), f"{name}-h{step}-{jump}")
-            if not hooks.where("moved").head(1):
-                break
-            hooks = hooks.drop("moved")
-        hooks = hooks.select("b", "p")
+
+    def onward(hooks: DataFrame) -> DataFrame:
+        """Each hook followed one step, and whether it moved."""
+        ahead = hooks.select(F.col("b").alias("q"), F.col("p").alias("pp"))
+        moved = hooks.join(ahead, hooks["p"] == ahead["q"], "left")
+        return moved.select("b", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))
+
+    found, step, n = None, 0, 1
+    while n:
+        hooks, jump, moving = edges.groupBy("b").agg(F.min("a").alias("p")), 0, 1
+        while moving:
+            hooks, moving = work.counted(onward(onward(hooks).select("b", "p")), f"{name}-h{step}-{jump}", most, "moved")
+            hooks, jump = hooks.select("b", "p"), jump + 1
         new = hooks.select(F.col("b").alias("id"), F.col("p").alias("root"))
         if found is not None:
             old = found.join(hooks, found["root"] == hooks["b"], "left").select("id", F.coalesce("p", "root").alias("root"))
-            new = old.unionByName(new)
-        found = work.save(new, f"{name}-c{step}")
+            new = work.save(old.unionByName(new), f"{name}-c{step}", most)
+        found = new
         left = hooks.select(F.col("b").alias("x"), F.col("p").alias("px"))
         right = hooks.select(F.col("b").alias("y"), F.col("p").alias("py"))
         ends = edges.join(left, F.col("a") == F.col("x"), "left").join(right, F.col("b") == F.col("y"), "left")
         ends = ends.select(F.coalesce("px", "a").alias("u"), F.coalesce("py", "b").alias("v")).where("u <> v")
         step += 1
-        edges = work.save(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), f"{name}-e{step}")
-        if not edges.head(1):
-            return found
+        edges, n = work.counted(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), f"{name}-e{step}", most)
+    return found
+
 
+def shared(work: Scratch, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``rows`` (key, id and others) of keys that two rows or more have, with their number n and a leader.
 
-def shared(work: Scratch, rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` (key, id and others) of keys that two rows or more have, with their number n and a leader."""
+    Also how many of them are in crowded buckets.
+    """
     # The id next to the key bit by bit is as good as a random one, and takes one long to find.
     pick = F.min(F.col("key").bitwiseXOR(F.col("id"))).bitwiseXOR(F.col("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), pick.alias("lead")).where("n > 1")
     # Shuffled at every size: buckets grow with the rows.
-    return work.save(rows.join(work.save(counts, f"{name}-counts").hint("merge"), "key"), f"{name}-rows")
+    return work.counted(rows.join(work.save(counts, f"{name}-counts").hint("merge"), "key"), f"{name}-rows", where=F.col("n") > CROWD)
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("root", "comp_root"), "id", "left").withColumn("comp", F.coalesce("comp_root", "id")).drop("comp_root")
 
 
-def _joined(work: Scratch, found: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
-    """The components with those that ``links`` (a, b) connect made one."""
-    if found is None:
-        return components(work, links, name)
-    left, right = (found.select(F.col("id").alias(f"{x}_id"), F.col("root").alias(f"{x}_root")) for x in ("n", "f"))
-    ends = links.join(left, F.col("a") == F.col("n_id"), "left").join(right, F.col("b") == F.col("f_id"), "left")
-    ends = ends.select(F.coalesce("n_root", "a").alias("u"), F.coalesce("f_root", "b").alias("v")).where("u <> v")
-    new = components(work, ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), name)
-    onward = new.select(F.col("id").alias("r"), F.col("root").alias("rr"))
-    old = found.join(onward, F.col("root") == F.col("r"), "left").select("id", F.coalesce("rr", "root").alias("root"))
-    return work.save(old.unionByName(new), f"{name}-all")
+class _Groups:
+    """The components so far: id and root of each id that is not a root."""
+
+    def __init__(self, work: Scratch):
+        self.work, self.found, self.rows = work, None, 0
+
+    def join(self, links: DataFrame, n: int, name: str) -> None:
+        """Make one of the components that the ``n`` ``links`` (a, b) connect."""
+        if self.found is not None and not n:
+            return
+        if self.found is None:
+            self.found = components(self.work, links, name, n)
+        else:
+            left, right = (self.found.select(F.col("id").alias(f"{x}_id"), F.col("root").alias(f"{x}_root")) for x in ("n", "f"))
+            ends = links.join(left, F.col("a") == F.col("n_id"), "left").join(right, F.col("b") == F.col("f_id"), "left")
+            ends = ends.select(F.coalesce("n_root", "a").alias("u"), F.coalesce("f_root", "b").alias("v")).where("u <> v")
+            new = components(self.work, ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), name, n)
+            onward = new.select(F.col("id").alias("r"), F.col("root").alias("rr"))
+            old = self.found.join(onward, F.col("root") == F.col("r"), "left").select("id", F.coalesce("rr", "root").alias("root"))
+            self.found = self.work.save(old.unionByName(new), f"{name}-all", self.rows + n)
+        self.rows += n
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -109,13 +120,16 @@ class _Tried:
     def __init__(self, work: Scratch, verify: Verify):
         self.work, self.verify, self.tables = work, verify, []
 
-    def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among those of ``pairs`` (a, b) that are new."""
+    def __call__(self, pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The links among those of ``pairs`` (a, b) that are new, and their number."""
         if self.tables:
             pairs = pairs.join(reduce(DataFrame.unionByName, self.tables), ["a", "b"], "left_anti")
-        pairs = self.work.save(pairs, f"{name}-pairs")
+        pairs, n = self.work.counted(pairs, f"{name}-pairs")
         self.tables.append(pairs)
-        return self.work.save(self.verify(pairs, name), f"{name}-links")
+        if not n and len(self.tables) > 1:
+            return pairs, 0
+        # Comparing takes longer than writing, so there are more tasks than files of that size.
+        return self.work.counted(self.verify(pairs, n, name), f"{name}-links", 10 * n)
 
 
 def _parts(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
@@ -125,9 +139,9 @@ def _parts(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
     return _labelled(rows, found).groupBy("key", "comp").agg(F.count("*").alias("rows"), *reps)
 
 
-def _round(work: Scratch, rows: DataFrame, found: DataFrame, step: int, name: str) -> DataFrame:
+def _round(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
     """Pairs between the largest component of each bucket and the others."""
-    parts = work.save(_parts(rows, found, step), f"{name}-parts")
+    parts = _parts(rows, found, step)
     names = [f"rep{t}" for t in range(TRIES)]
     tops = parts.groupBy("key").agg(F.max_by(F.struct("comp", *names), F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     both = parts.join(tops, "key").where("comp <> top.comp")
@@ -141,49 +155,44 @@ def _similar(x: str, y: str) -> str:
     return f"least({x}, {y}) >= 0.8 * greatest({x}, {y})"
 
 
-def _linked(work: Scratch, rows: DataFrame, found: DataFrame | None, tried: _Tried, name: str) -> DataFrame:
-    """Steps 1 to 3 for the rows of some buckets."""
+def _linked(work: Scratch, rows: DataFrame, crowded: int, groups: _Groups, tried: _Tried, name: str) -> None:
+    """Steps 1 to 3 for the rows of some buckets, of which ``crowded`` are in crowded ones."""
     stars = rows.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("n"))
     best = stars.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    links = tried(best.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), f"{name}-lead")
-    found = _joined(work, found, links, f"{name}-lead")
-
-    crowded, step = rows.where(F.col("n") > CROWD), 0
-    if crowded.head(1):
-        while True:
-            links = tried(_round(work, crowded, found, step, f"{name}-{step}"), f"{name}-{step}")
-            if not links.head(1):
-                break
-            found = _joined(work, found, links, f"{name}-{step}")
-            step += 1
-
-    small = work.save(_labelled(rows.where(F.col("n") <= CROWD), found).select("key", "id", "size", "comp"), f"{name}-small")
+    groups.join(*tried(best.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), f"{name}-lead"), f"{name}-lead")
+
+    step, n = 0, crowded
+    while n:
+        links, n = tried(_round(rows.where(F.col("n") > CROWD), groups.found, step), f"{name}-{step}")
+        groups.join(links, n, f"{name}-{step}")
+        step += 1
+
+    small = _labelled(rows.where(F.col("n") <= CROWD), groups.found).select("key", "id", "size", "comp")
     mixed = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     small = work.save(small.join(mixed, "key"), f"{name}-mixed")
     other = small.select("key", F.col("id").alias("o_id"), F.col("size").alias("o_size"), F.col("comp").alias("o_comp"))
     pairs = small.join(other, "key").where("comp < o_comp").where(_similar("size", "o_size"))
-    links = tried(pairs.select(*_ordered(F.col("id"), F.col("o_id"))).distinct(), f"{name}-rest")
-    return _joined(work, found, links, f"{name}-rest")
+    groups.join(*tried(pairs.select(*_ordered(F.col("id"), F.col("o_id"))).distinct(), f"{name}-rest"), f"{name}-rest")
 
 
 def link(work: Scratch, things: DataFrame, verify: Verify, split: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id and root for things linked by verified pairs of bucket mates.
 
     ``things`` has columns id, size and keys; the sizes of alike things are within a
-    fifth of each other.  ``verify`` takes distinct pairs (a, b) and a name, and
-    returns those that are alike; all ids it is asked about are in the table
+    fifth of each other.  ``verify`` takes distinct pairs (a, b), their number and a
+    name, and returns those that are alike; all ids it is asked about are in the table
     ``0-rows`` of ``work``.  ``split`` takes rows (key, pos of the key, id, size) of
     crowded buckets and returns rows with more keys.
     """
-    tried = _Tried(work, verify)
-    rows = shared(work, things.select("id", "size", F.posexplode("keys").alias("pos", "key")), "0")
-    found = _linked(work, rows, None, tried, "0")
-    crowded = rows.where(F.col("n") > CROWD)
-    if not crowded.head(1):
-        return found
-    most = _labelled(crowded, found).groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max("rows").alias("most"), F.sum("rows").alias("all"))
-    apart = work.save(most.where("2 * most < all").select("key"), "apart")
-    if not apart.head(1):
-        return found
-    more = shared(work, split(crowded.join(apart, "key").select("key", "pos", "id", "size")).select("key", "id", "size"), "1")
-    return _linked(work, more, found, tried, "1")
+    tried, groups = _Tried(work, verify), _Groups(work)
+    rows, crowded = shared(work, things.select("id", "size", F.posexplode("keys").alias("pos", "key")), "0")
+    _linked(work, rows, crowded, groups, tried, "0")
+    if not crowded:
+        return groups.found
+    crowd = rows.where(F.col("n") > CROWD)
+    most = _labelled(crowd, groups.found).groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max("rows").alias("most"), F.sum("rows").alias("all"))
+    apart, keys = work.counted(most.where("2 * most < all").select("key"), "apart")
+    if keys:
+        more, crowded = shared(work, split(crowd.join(apart, "key").select("key", "pos", "id", "size")).select("key", "id", "size"), "1")
+        _linked(work, more, crowded, groups, tried, "1")
+    return groups.found

@@ -12,7 +12,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of keys or links that a task writes.
+TASK_ROWS = 25_000
 
 _LIVE: list[tuple[SparkSession, str]] = []
 
@@ -24,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         # The setting cannot change in a running application; the context's folder can.
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='larkspan-')}")
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -38,11 +44,19 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _LIVE.append((spark, self.root))
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back from the shared folder."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back from the shared folder.
+
+        ``rows``, if known, is the most it can have: a small table then has few files.
+        """
+        return self.counted(df, name, rows)[0]
+
+    def counted(self, df: DataFrame, name: str, rows: int | None = None, where: Column | str = "true") -> tuple[DataFrame, int]:
+        """``save``, and the number of rows where a condition holds, counted while writing."""
+        path, seen = f"{self.root}/{name}", Observation()
+        parts = df if rows is None else df.coalesce(rows // TASK_ROWS + 1)
+        parts.observe(seen, F.count_if(F.expr(where) if isinstance(where, str) else where).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
