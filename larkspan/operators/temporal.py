@@ -12,6 +12,22 @@ def previous(df: DataFrame, key: str, order: list[str], when: Column, value: str
     return df.withColumn(out, F.last(F.when(when, F.col(value)), ignorenulls=True).over(before))
 
 
+def asof(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
+    """Each row of ``left`` with the ``values`` of the key's last row of ``right`` at or before it.
+
+    Both sides are put in one order and the last row of ``right`` is carried forward, so
+    rows are not multiplied.  Times of ``right`` are unique within a key; a row of ``left``
+    without an earlier one, or with a null key or time, has nulls.
+    """
+    carried = F.struct(*values)
+    one = left.select(F.col(key).alias("__k"), F.col(left_at).cast("timestamp").alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType).alias("__right"))
+    two = right.where(F.col(key).isNotNull() & F.col(right_at).isNotNull()).select(F.col(key).alias("__k"), F.col(right_at).cast("timestamp").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("__left"), carried.alias("__right"))
+    order = Window.partitionBy("__k").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = one.unionByName(two).withColumn("__found", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
+    known = F.col("__k").isNotNull() & F.col("__t").isNotNull()
+    return found.select("__left.*", *(F.when(known, F.col("__found")[v]).alias(v) for v in values))
+
+
 def within(df: DataFrame, key: str, at: str, ident: str, seconds: int) -> DataFrame:
     """Ordered pairs of one key at most ``seconds`` apart.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan import sources
 from larkspan.operators import lookup
 from larkspan.plans.registry import query
 from larkspan.sources import table
@@ -30,29 +33,26 @@ def advisory_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eligible_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many small parts each balance reaches.
 
-    Distinct prices are counted and cumulated, and the balance is looked up among
-    them by a band join, so customers are not multiplied by parts.
+    A running count over the different prices and balances in one order: no customer
+    meets a part.  Values are dealt to cells between quantiles, counted inside each cell,
+    and each cell's total is added to the later ones.
     """
-    from pyspark.sql import Window
-
-    width = 250.0
-    prices = table(spark, sf_dir, "part").where("p_size < 3").groupBy("p_retailprice").agg(F.count("*").alias("n"))
-    # Distinct prices are few; cells keep the running count parallel for many of them.
-    cells = prices.withColumn("cell", F.floor(F.col("p_retailprice") / width))
-    sums = cells.groupBy("cell").agg(F.sum("n").alias("cell_n"), F.max("p_retailprice").alias("cell_max"))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumns({"n_before": F.coalesce(F.sum("cell_n").over(before), F.lit(0)), "max_before": F.max("cell_max").over(before)})
-    top = sums.agg(F.max("cell").alias("last"), F.min("cell").alias("first"))
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").withColumn("cell", F.floor(F.col("c_acctbal") / width))
-    inner = customers.join(cells.select("cell", "p_retailprice", "n"), "cell").where("c_acctbal >= p_retailprice").groupBy("c_custkey").agg(F.sum("n").alias("n_in"), F.max("p_retailprice").alias("max_in"))
-    # Cells without prices take the running totals of the last cell that has some.
-    dense = top.select(F.explode(F.sequence("first", F.col("last") + 1)).alias("cell")).join(sums, "cell", "left")
-    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    dense = dense.select("cell", F.coalesce(F.sum("cell_n").over(upto), F.lit(0)).alias("n_before"), F.max("cell_max").over(upto).alias("max_before"))
-    bounds = customers.crossJoin(F.broadcast(top)).withColumn("cell", F.least("cell", F.col("last") + 1))  # one row of bounds
-    out = bounds.join(dense, "cell").join(inner, "c_custkey", "left")
-    out = out.select("c_custkey", (F.col("n_before") + F.coalesce("n_in", F.lit(0))).alias("n_parts"), F.greatest("max_before", "max_in").alias("best"))
-    return out.where("n_parts > 0")
+    cells = 64
+    prices = table(spark, sf_dir, "part").where("p_size < 3 AND p_retailprice IS NOT NULL").groupBy(F.col("p_retailprice").alias("v")).agg(F.count("*").alias("n"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").where("c_acctbal IS NOT NULL")
+    balances = customers.select(F.col("c_acctbal").alias("v")).distinct()
+    values = prices.select("v", "n", F.col("v").alias("price")).unionByName(balances.select("v", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("price")))
+    bounds = values.agg(F.percentile_approx("v", [i / cells for i in range(1, cells)]).alias("q")).head()["q"] or []  # at most ``cells`` numbers
+    cell = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("v"))) if bounds else F.lit(0)
+    values = values.withColumn("cell", cell)
+    upto = Window.partitionBy("cell").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = values.select("v", "cell", "price", F.sum("n").over(upto).alias("n_in"), F.max("price").over(upto).alias("max_in")).where("price IS NULL")
+    totals = values.groupBy("cell").agg(F.sum("n").alias("n"), F.max("price").alias("price"))
+    later = totals.select("n", "price", F.explode(F.sequence(F.col("cell") + 1, F.lit(cells))).alias("later"))
+    before = later.groupBy("later").agg(F.sum("n").alias("n_before"), F.max("price").alias("max_before"))
+    found = inside.join(F.broadcast(before), F.col("cell") == F.col("later"), "left")  # a row per cell
+    found = found.select("v", (F.col("n_in") + F.coalesce("n_before", F.lit(0))).alias("n_parts"), F.greatest("max_before", "max_in").alias("best")).where("n_parts > 0")
+    return customers.join(found, F.col("c_acctbal") == F.col("v")).select("c_custkey", "n_parts", "best")
 
 
 @query("SELECT grade, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem JOIN (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), {g})" for a, b, g in BANDS) + ") t(b_lo, b_hi, grade) ON l_quantity >= b_lo AND l_quantity < b_hi GROUP BY grade")
@@ -121,3 +121,36 @@ def raw_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 0")
 def checked_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.checked(table(spark, sf_dir, "orders"), F.col("o_totalprice") > 0, "an order without a price").select("o_orderkey")
+
+
+def _written(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as read back from files of another format."""
+    path = sources.shared_path(spark, kind)
+    write, read = {"json": (sources.write_json, partial(sources.read_json, whole_files=False)), "csv": (sources.write_csv, sources.read_csv), "orc": (sources.write_orc, sources.read_orc)}[kind]
+    write(df, path)
+    return read(spark, path, ", ".join(f"{n} {t}" for n, t in df.dtypes))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, table(spark, sf_dir, "supplier"), "json")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, table(spark, sf_dir, "supplier"), "csv")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def orc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, table(spark, sf_dir, "supplier"), "orc")
+
+
+@query("""SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  WHERE year(o_orderdate) BETWEEN 1992 AND 1998 AND year(l_shipdate) BETWEEN 1992 AND 1998 AND (year(o_orderdate) < 1995) = (year(l_shipdate) < 1995)""")
+def same_system_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that were shipped under the system their order was placed under."""
+    systems = {y: "old" if y < 1995 else "new" for y in range(1992, 1999)}
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("placed"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.year("l_shipdate").alias("shipped"))
+    return lookup.same_system(orders, lines, ["o_orderkey"], "placed", "shipped", systems).select("o_orderkey", "l_linenumber")

@@ -91,6 +91,15 @@ def asof_prev_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "user_id", "event_type", "last_purchase")
 
 
+@query("""SELECT e.event_id, e.user_id, o.last_order FROM events e ASOF LEFT JOIN
+  (SELECT o_custkey, o_orderdate, max(o_orderkey) AS last_order FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate""")
+def asof_last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last order its user had placed by then."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), "o_orderdate").agg(F.max("o_orderkey").alias("last_order"))
+    return temporal.asof(events, orders, "user_id", "ts", "o_orderdate", ["last_order"]).select("event_id", "user_id", "last_order")
+
+
 @query("SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.within(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600).select("user_id", "left_id", "right_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The declared columns of each table.
@@ -39,6 +42,15 @@ def read_json(spark: SparkSession, path: str, schema: str, whole_files: bool = T
     return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "FAILFAST").json(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """Delimited text with a declared schema; a row that does not fit is an error."""
+    return spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+
+
+def read_orc(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).orc(path)
+
+
 def read_raw(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files as they are (path, time, length, content), for extraction by a later step."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
@@ -48,5 +60,26 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def write_orc(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").orc(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the folder that all executors share.
+
+    That is ``spark.checkpoint.dir``; only a local session may do without it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)

@@ -34,6 +34,14 @@ def distinct(df: DataFrame, keys: list[str], late: str) -> DataFrame:
     return df.withWatermark("ts", late).dropDuplicates([*keys, "ts"])
 
 
+def reached(df: DataFrame, table: DataFrame, key: str, score: str, cutoff: str) -> DataFrame:
+    """The lookup on a stream: each row with the rows of its key whose cutoff it reaches.
+
+    ``table`` is read anew in every batch; rows that reach nothing, and null cutoffs, give none.
+    """
+    return df.join(table, key).where(F.col(cutoff) <= F.col(score))
+
+
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there and stop; exactly once into parquet."""
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

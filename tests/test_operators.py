@@ -54,6 +54,31 @@ def test_previous_takes_strictly_earlier_rows(spark):
     assert [r["last"] for r in out.orderBy("t").collect()] == [None, 5.0, 5.0, 7.0]
 
 
+def test_asof_join_of_two_tables(spark):
+    at = [dt.datetime(2024, 1, d) for d in range(1, 8)]
+    left = spark.createDataFrame([(1, 10, at[0]), (1, 11, at[2]), (1, 12, at[5]), (2, 13, at[5]), (None, 14, at[5]), (1, 15, None)], "k int, i int, t timestamp")
+    right = spark.createDataFrame([(1, "a", at[2]), (1, "b", at[4]), (1, None, at[6]), (None, "x", at[0]), (3, "y", at[0])], "k int, v string, t timestamp")
+    out = temporal.asof(left, right, "k", "t", "t", ["v"])
+    assert out.columns == ["k", "i", "t", "v"]
+    assert {r["i"]: r["v"] for r in out.collect()} == {10: None, 11: "a", 12: "b", 13: None, 14: None, 15: None}
+    assert temporal.asof(left, right.limit(0), "k", "t", "t", ["v"]).where("v IS NOT NULL").count() == 0
+
+
+def test_eligible_with_null_cutoffs_ties_and_reversed_scales(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, None), (4, 3.5), (4, 3.0)], "k int, cut double")
+    assert rows(lookup.eligible(df, "cut", 3.0).select("k"), "k") == [(1,), (2,), (4,)]
+    assert rows(lookup.eligible(df, "cut", 3.0, lower_is_better=True).select("k"), "k") == [(2,), (4,), (4,)]
+
+
+def test_systems_of_years_are_mixed_on_request_only(spark):
+    a = spark.createDataFrame([("u", 2027, 1), ("u", 2028, 2), ("u", 2030, 3)], "k string, y int, a int")
+    b = spark.createDataFrame([("u", 2026, 5), ("u", 2028, 6), ("u", None, 7)], "k string, z int, b int")
+    systems = {2026: "old", 2027: "old", 2028: "new"}
+    assert rows(lookup.same_system(a, b, ["k"], "y", "z", systems).select("a", "b"), "a") == [(1, 5), (2, 6)]
+    mixed = lookup.same_system(a, b, ["k"], "y", "z", systems, across=True)
+    assert rows(mixed.select("a", "b", "mixed"), "a", "b") == [(1, 5, False), (1, 6, True), (2, 5, True), (2, 6, False)]
+
+
 def test_pairs_within_an_hour(spark):
     base = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, i, base + dt.timedelta(minutes=m)) for i, m in enumerate((0, 60, 61, 400))], "u int, i int, t timestamp")
@@ -70,6 +95,50 @@ def test_json_round_trip_and_drift(spark, tmp_path):
         sources.read_json(spark, str(tmp_path / "bad.json"), "a int", whole_files=False).collect()
 
 
+def test_other_formats_and_drift(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x, y"), (2, None)], "a int, b string")
+    for write, read, name in ((sources.write_csv, sources.read_csv, "c"), (sources.write_orc, sources.read_orc, "o")):
+        write(df, str(tmp_path / name))
+        assert rows(read(spark, str(tmp_path / name), "a int, b string"), "a") == [(1, "x, y"), (2, None)]
+    with pytest.raises(Exception):  # noqa: B017
+        sources.read_csv(spark, str(tmp_path / "c"), "b string, a int").collect()
+    sources.write_parquet(df, str(tmp_path / "p"), "a")
+    assert sorted(p.name for p in (tmp_path / "p").iterdir() if p.is_dir()) == ["a=1", "a=2"]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "one.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "raw" / "two.txt").write_text("t")
+    assert [bytes(r["content"]) for r in sources.read_raw(spark, str(tmp_path / "raw"), "*.bin").collect()] == [b"\x00\x01"]
+
+
+def _events(spark, path, minutes, first=0):
+    base = dt.datetime(2024, 1, 1)
+    data = [(first + i, base + dt.timedelta(minutes=m), 1, "view", 1.0, "{}") for i, m in enumerate(minutes)]
+    spark.createDataFrame(data, sources.SCHEMAS["events"].replace("timestamp_ntz", "timestamp")).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_late_rows_of_reordered_files_are_dropped(spark, tmp_path):
+    def run(step):
+        stream = streaming.tumbling(streaming.events(spark, str(tmp_path / "in")), "10 minutes", "5 minutes")
+        streaming.drain(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        return sorted((r["start"].hour * 60 + r["start"].minute, r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for k, minutes in enumerate(([1, 2, 31], [8, 28, 33], [70], [75])):  # minute 8 comes after the watermark has passed its window
+        _events(spark, tmp_path / "in", minutes, 10 * k)
+        got = run(k)
+    assert got == [(0, 2), (20, 1), (30, 2)]
+
+
+def test_sliding_windows_and_lookups_of_a_stream(spark, tmp_path):
+    _events(spark, tmp_path / "in", (1, 6, 12, 100))
+    stream = streaming.events(spark, str(tmp_path / "in"))
+    streaming.drain(streaming.sliding(stream, "10 minutes", "5 minutes", "1 minute"), str(tmp_path / "s"), str(tmp_path / "c1"))
+    got = {(r["start"].hour * 60 + r["start"].minute): r["n"] for r in spark.read.parquet(str(tmp_path / "s")).collect() if r["start"].day == 1}
+    assert got == {0: 2, 5: 2, 10: 1}
+    routes = spark.createDataFrame([(1, 0.5), (1, 3.0), (1, None), (2, 0.1)], "user_id long, cutoff double")
+    streaming.drain(streaming.reached(stream, routes, "user_id", "value", "cutoff"), str(tmp_path / "r"), str(tmp_path / "c2"))
+    assert sorted((r["event_id"], r["cutoff"]) for r in spark.read.parquet(str(tmp_path / "r")).collect()) == [(i, 0.5) for i in range(4)]
+
+
 def test_stream_equals_batch_up_to_open_windows(spark, sf_dir, tmp_path):
     events = sources.table(spark, sf_dir, "events")
     events.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
