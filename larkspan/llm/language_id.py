@@ -1,17 +1,20 @@
 """Language ID by interpolated Kneser-Ney character models.
 
 One model per language over letters in lower case and word breaks.  Counts come
-from a bounded sample of labelled texts (``max_chars`` a language; documents are
-picked by a hash of doc_id).  All models share sorted arrays of n-gram hashes
-with one column of log probabilities per language, so a position of a text costs
-one lookup for its longest n-gram and another only where that was never seen.
-The language with the least cross-entropy per character wins; a text is accepted
-if that cross-entropy stays under the language's threshold, a high quantile over
-training documents that were kept out of the counts.
+from a bounded sample of labelled texts: spans of at most SPAN characters, picked by a
+hash of doc_id and place, about ``max_chars`` characters a language and ``max_total`` in
+all, so long texts teach in part and many languages share the bound.  All models share
+sorted arrays of n-gram hashes with one column of log probabilities per language, so a
+position of a text costs one lookup for its longest n-gram and another only where that
+was never seen.  The language with the least cross-entropy per character wins; a text is
+accepted if that cross-entropy stays under the language's threshold, a high quantile over
+training spans that were kept out of the counts.  The same spans calibrate the score.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; rows
-whose language is null, and empty texts, teach nothing; without any training row
-every text is ``und``; lang, source and doc_id are not used to predict.
+whose language is null, and texts without letters, teach nothing; without any training row
+every text is ``und``; a language of one span has no threshold; repeated rows are each
+predicted (and may each be learnt); lang, source and doc_id are not used to predict; a
+text is held whole in one task, which takes about 100 times its bytes.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 ORDER = 4
-#: Characters that each language's counts are taken from, about.
-MAX_CHARS = 3_000_000
+#: Characters that each language's counts are taken from, about, and all languages' together.
+MAX_CHARS, MAX_TOTAL = 3_000_000, 24_000_000
+#: Characters of a text that are picked together.
+SPAN = 20_000
 #: Share of a language's sampled documents kept for its threshold.
 HELD_SHARE = 10
 QUANTILE = 0.995
-#: A score counts at most this many characters as independent evidence.
-EVIDENCE = 40
+#: A score counts at most so many characters as independent evidence; the one that suits the kept spans best.
+EVIDENCE = (5, 10, 20, 40, 80, 160)
 UND = "und"
 _UNSEEN = 1e-7
 
@@ -71,6 +76,13 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep].astype(np.uint64), total[begin]
 
 
+def places(n_codes: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each code and how many codes of it stand before; -1 after the last text."""
+    position = np.arange(n_codes)
+    doc = np.searchsorted(begin, position, "right") - 1
+    return doc, np.where(doc < len(begin) - 1, position - begin[np.minimum(doc, len(begin) - 1)], -1)
+
+
 def gram_keys(codes: np.ndarray, order: int) -> list[np.ndarray]:
     """keys[n][i]: hash of the n codes that end at i, for i >= n - 1 (0 before)."""
     keys = [np.zeros(len(codes), np.uint64)]
@@ -120,6 +132,7 @@ class Model:
         self.backoff: list[Table] = []
         self.floor = np.zeros(len(langs))
         self.limit = np.full(len(langs), np.inf)
+        self.evidence = EVIDENCE[len(EVIDENCE) // 2]
 
     def log_probs(self, keys: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
         """log P of the code at each position by every language, from order n down."""
@@ -144,9 +157,8 @@ class Model:
         keys = gram_keys(codes, self.order)
         n = len(texts)
         position = np.arange(len(codes))
-        doc = np.searchsorted(begin, position, "right") - 1
-        back = position - begin[np.minimum(doc, n)]
-        scored = (doc < n) & (back > 0)
+        doc, back = places(len(codes), begin)
+        scored = back > 0
         where, doc, back = position[scored], doc[scored], back[scored]
         total = np.zeros((n, len(self.langs)))
         for n_gram in range(1, self.order + 1):
@@ -167,19 +179,22 @@ class Model:
             return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         h, letters = self.entropies(texts)
         best = h.argmin(1)
-        gap = np.minimum(letters, EVIDENCE)[:, None] * (h - h.min(1, keepdims=True))
+        gap = np.minimum(letters, self.evidence)[:, None] * (h - h.min(1, keepdims=True))
         score = 1 / np.exp(-gap).sum(1)
         some = letters > 0
         names = [self.langs[b] if s else UND for b, s in zip(best.tolist(), some.tolist(), strict=True)]
         return names, np.where(some, score, 0.0), some & (h[np.arange(len(texts)), best] <= self.limit[best])
 
 
-def _kneser_ney(keys: list[np.ndarray], order: int) -> tuple[list[dict], list[dict]]:
-    """Per order: (keys, log P) of seen n-grams and (keys, log weight) of contexts."""
+def _kneser_ney(keys: list[np.ndarray], back: np.ndarray, order: int) -> tuple[list[dict], list[dict]]:
+    """Per order: (keys, log P) of seen n-grams and (keys, log weight) of contexts.
+
+    ``back`` says how many codes of its text stand before each; no n-gram begins in another text.
+    """
     grams, weights = [], []
-    positions = np.arange(order, len(keys[0]))
     distinct = []
     for n in range(1, order + 1):
+        positions = np.flatnonzero(back >= max(n - 1, 1))
         key, first, count = np.unique(keys[n][positions], return_index=True, return_counts=True)
         distinct.append((key, positions[first], count))
     lower = None
@@ -209,31 +224,33 @@ def _kneser_ney(keys: list[np.ndarray], order: int) -> tuple[list[dict], list[di
 
 def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     """Models of all languages from texts by language; one in HELD_SHARE texts sets thresholds."""
-    langs = sorted(texts)
+    texts = {x: some for x in sorted(texts) if (some := [t for t in texts[x] if any(map(str.isalpha, t))])}
+    langs = list(texts)
     model = Model(langs, order)
     if not langs:
         return model
-    held = {x: t[:: max(2, min(HELD_SHARE, len(t)))] if len(t) > 1 else t for x, t in texts.items()}
-    learnt = {x: [v for i, v in enumerate(t) if i % max(2, min(HELD_SHARE, len(t)))] if len(t) > 1 else t for x, t in texts.items()}
-    parts, alphabets = {}, {}
+    step = {x: max(2, min(HELD_SHARE, len(t))) for x, t in texts.items()}
+    held = {x: t[:: step[x]] if len(t) > 1 else [] for x, t in texts.items()}
+    learnt = {x: [v for i, v in enumerate(t) if i % step[x]] if len(t) > 1 else t for x, t in texts.items()}
+    parts, sources = {}, {}
     for x in langs:
-        codes, _ = folded(learnt[x])
-        codes = np.r_[np.full(order, 32, np.uint64), codes]
-        alphabets[x] = codes
-        parts[x] = _kneser_ney(gram_keys(codes, order), order)
+        codes, begin = folded(learnt[x])
+        keys, back = gram_keys(codes, order), places(len(codes), begin)[1]
+        parts[x], sources[x] = _kneser_ney(keys, back, order), (keys, back)
     model.floor = np.array([np.log(np.exp(parts[x][1][0]["values"][0]) * _UNSEEN) for x in langs])
-    all_codes = {n: {} for n in range(1, order + 1)}
     for n in range(1, order + 1):
+        seen = {}
         for x in langs:
-            keys = gram_keys(alphabets[x], n)
-            k, first = np.unique(keys[n][order:], return_index=True)
-            all_codes[n][x] = (k, keys[n - 1][order:][first], keys[n - 1][order - 1 : -1][first])
-        union = np.unique(np.concatenate([v[0] for v in all_codes[n].values()]))
+            keys, back = sources[x]
+            at = np.flatnonzero(back >= max(n - 1, 1))
+            k, first = np.unique(keys[n][at], return_index=True)
+            seen[x] = (k, keys[n - 1][at[first]], keys[n - 1][at[first] - 1])
+        union = np.unique(np.concatenate([v[0] for v in seen.values()]))
         suffix, context = np.zeros(len(union), np.uint64), np.zeros(len(union), np.uint64)
-        for v in all_codes[n].values():
+        for v in seen.values():
             at = np.searchsorted(union, v[0])
             suffix[at], context[at] = v[1], v[2]
-        values = np.zeros((len(union), len(langs)))
+        values = np.zeros((len(union), len(langs)), np.float32)
         for j, x in enumerate(langs):
             # What this language has not seen backs off, once and for all, when the table is made.
             values[:, j] = model.floor[j] if n == 1 else model.grams[n - 2].values[model.grams[n - 2].find(suffix), j]
@@ -251,24 +268,35 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
                 w = parts[x][1][n - 1]
                 weight[np.searchsorted(every, w["keys"]), j] = w["values"]
             model.backoff.append(Table(every, weight))
-    for j, x in enumerate(langs):
-        h, letters = model.entropies(held[x])
-        mine = h[letters > 0, j]
-        model.limit[j] = np.quantile(mine, QUANTILE) * 1.05 if len(mine) else np.inf
+    found = {j: model.entropies(held[x]) for j, x in enumerate(langs) if held[x]}
+    for j, (h, _) in found.items():
+        model.limit[j] = np.quantile(h[:, j], QUANTILE)
+    if found:
+        model.evidence = min(EVIDENCE, key=lambda e: sum(_loss(h, j, np.minimum(n, e)) for j, (h, n) in found.items()))
     return model
 
 
-def train(docs: DataFrame, rows: Column, order: int = ORDER, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on a sample of the labelled ``rows``: about ``max_chars`` a language."""
+def _loss(h: np.ndarray, own: int, n: np.ndarray) -> float:
+    """Minus the log probability of the right language, over texts with ``n`` characters of evidence."""
+    margin = -n[:, None] * (h - h[:, [own]])
+    most = margin.max(1)
+    return float((most + np.log(np.exp(margin - most[:, None]).sum(1))).sum())
+
+
+def train(docs: DataFrame, rows: Column, order: int = ORDER, max_chars: int = MAX_CHARS, max_total: int = MAX_TOTAL) -> Model:
+    """Fit on a sample of the labelled ``rows``: about ``max_chars`` characters a language, ``max_total`` in all."""
     usable = docs.where(rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = usable.groupBy("lang").agg(F.sum(F.char_length("text")).alias("size")).collect()  # one row per language
-    share = {r["lang"]: min(1.0, max_chars / max(r["size"], 1)) for r in sizes if r["size"]}
-    if not share:
+    sizes = {r["lang"]: r["size"] for r in sizes if r["size"]}
+    if not sizes:
         return fit({}, order)
-    cut = F.element_at(F.create_map(*[F.lit(v) for k, s in share.items() for v in (k, int(1_000_000 * s))]), F.col("lang"))
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < cut)
-    # Whole texts only; one longer than the whole sample teaches nothing, which bounds what comes to the driver.
-    got = picked.where(F.char_length("text") <= max_chars).select("doc_id", "lang", "text").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    most = min(max_chars, max(1, max_total // len(sizes)))
+    cut = F.element_at(F.create_map(*[F.lit(v) for k, size in sizes.items() for v in (k, int(1_000_000 * min(1.0, most / size)))]), F.col("lang"))
+    spans = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("text"), F.lit(1)) - 1) / SPAN).cast("int"))
+    picked = F.filter(spans, lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit("lang")), F.lit(1_000_000)) < cut)
+    # Of a language that fits the bound all is taken, so none with a text is left out.
+    got = usable.select("doc_id", "lang", "text", F.explode(picked).alias("at")).select("doc_id", "lang", "at", F.substr("text", F.col("at") * SPAN + 1, F.lit(SPAN)).alias("text"))
+    got = got.toArrow().sort_by([(c, "ascending") for c in ("lang", "doc_id", "at", "text")])
     texts: dict[str, list[str]] = {}
     for lang, text in zip(got["lang"].to_pylist(), got["text"].to_pylist(), strict=True):
         texts.setdefault(lang, []).append(text)
@@ -277,7 +305,7 @@ def train(docs: DataFrame, rows: Column, order: int = ORDER, max_chars: int = MA
 
 def identify(docs: DataFrame, rows: Column, order: int = ORDER, max_chars: int = MAX_CHARS) -> DataFrame:
     """doc_id, lang_pred, score and accepted of every whole text."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, rows, order, max_chars))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, rows, order, max_chars))  # n-grams of MAX_TOTAL characters at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches, limit=A.CHUNK_BYTES // 2):

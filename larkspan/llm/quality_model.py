@@ -8,7 +8,10 @@ one histogram of gradients.  Trees are complete and flattened into three arrays,
 so scoring is a few gathers per level for a whole batch.
 
 Defined cases: null and empty texts have all-zero statistics and get a score;
-labels that are null or of unknown documents are ignored; if the labels hold one
+labels that are null or of unknown documents are ignored; equal labels of one doc_id
+are one label, and a doc_id with both labels teaches nothing; all documents of a
+repeated doc_id have its label, and of more than 2 * ``max_rows`` such rows those with the
+least hashes are learnt; if the labels hold one
 class only, or none, every score is that class's smoothed share; columns other
 than doc_id and text are not read.
 """
@@ -105,7 +108,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def sampled(labels: DataFrame, train: Column, max_rows: int = MAX_ROWS) -> DataFrame:
     """At most about ``max_rows`` usable labels, picked by a hash of doc_id."""
-    usable = labels.where(train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    usable = labels.where(train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     n = usable.count()
     if n <= max_rows:
         return usable
@@ -117,7 +121,7 @@ def train(stats: DataFrame, labels: DataFrame, rows: Column, max_rows: int = MAX
     picked = F.broadcast(sampled(labels, rows, max_rows))  # at most max_rows small rows
     found = stats.join(picked, "doc_id").select("doc_id", "x", F.col("quality").cast("double").alias("y"))
     # Rows of repeated doc_ids can be more; a hash of what is in them picks the same ones in every run.
-    found = found.orderBy(F.xxhash64("doc_id", "x", "y"), "doc_id", "x", "y").limit(2 * max_rows).toArrow().sort_by("doc_id")
+    found = found.withColumn("h", F.xxhash64("doc_id", "x", "y")).orderBy("h", "doc_id").limit(2 * max_rows).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     width = len(docstats.FEATURES)
     x = np.asarray(found["x"].combine_chunks().flatten(), np.float32).reshape(-1, width)
     return fit(x, np.asarray(found["y"], np.float64))
@@ -139,8 +143,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: Column, max_rows: int = MAX_
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: Column, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents, with all their columns, that the model accepts."""
-    picked = F.broadcast(sampled(labels, rows, max_rows).select(F.col("doc_id").alias("__label_id")))
-    labelled = docs.join(picked, F.col("doc_id") == F.col("__label_id"), "left_semi")
+    picked = F.broadcast(sampled(labels, rows, max_rows).select("doc_id"))
+    labelled = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi")
     model = docs.sparkSession.sparkContext.broadcast(train(statistics(labelled), labels, rows, max_rows))
 
     @F.arrow_udf("double")

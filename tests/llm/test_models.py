@@ -141,18 +141,112 @@ def test_lm_edges(frame):
 
 
 def test_log_filter_recalls_levels():
+    import pyarrow as pa
+
     r = np.random.default_rng(1)
-    keys = r.integers(0, 1 << 40, 3000).astype(np.uint64)
-    q = lm_score.level(r.integers(1, 5000, 3000))
-    bits = 1 << 20
-    data = np.zeros(bits // 8, np.uint8)
-    for step in range(1, int(q.max()) + 1):
-        mine = keys[q >= step]
-        for place in lm_score._places(mine, np.full(len(mine), step), bits):
-            np.bitwise_or.at(data, (place >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (place & np.uint64(7)).astype(np.uint8)))
-    found = lm_score.LogFilter(bits, data).levels(keys)
+    keys = r.integers(0, 1 << 63, 30_000).astype(np.uint64)
+    counts = r.integers(1, 200, 30_000)
+    shape = lm_score._shape(200_000)
+    q, segment = lm_score.level(counts), shape.segment(keys)
+    data = np.zeros(shape.segments * shape.width // 8, np.uint8)
+    for k in range(shape.segments):
+        short = (keys[segment == k] & lm_score._SHORT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        rows = pa.table({"segment": [k], "once": [b""], "more": [short], "counts": [counts[segment == k].astype("<i8").tobytes()]})
+        data[k * shape.width // 8 : (k + 1) * shape.width // 8] = np.frombuffer(lm_score._build(shape)((pa.scalar(k),), rows)["data"][0].as_py(), np.uint8)
+    found = lm_score.LogFilter(shape.segments, shape.width, data).levels(keys)
     assert (found >= q).all()
-    assert (found == q).mean() > 0.99
+    assert (found == q).mean() > 0.97
+    strange = lm_score.LogFilter(shape.segments, shape.width, data).levels(r.integers(0, 1 << 63, 30_000).astype(np.uint64))
+    assert (strange > 0).mean() < 0.03
+
+
+def brute_model(texts, train):
+    """The bigram model with exact dictionaries; frequent tokens have exact counts."""
+    tokens = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + [None] for t in texts]
+    learnt = [t for t, ok in zip(tokens, train, strict=True) if ok]
+    single = collections.Counter(w for t in learnt for w in t)
+    pairs = collections.Counter(p for t in learnt for p in zip(["<"] + t[:-1], t, strict=True))
+    total, distinct = sum(single.values()), len(single)
+    single["<"] = len(learnt)
+
+    def log(v, w):
+        n = pairs[v, w]
+        n = min(n if n < 2 else 0.75 * 2 ** (int(math.log2(n)) + 1), single[v])
+        return math.log10((n + lm_score.PRIOR * (single[w] + 1) / (total + distinct + 1)) / (single[v] + lm_score.PRIOR))
+
+    return [sum(log(v, w) for v, w in zip(["<"] + t[:-1], t, strict=True)) for t in tokens]
+
+
+@pytest.mark.parametrize("limit", [lm_score.MAX_FILTER, 0])
+def test_lm_scores_against_exact_counts(frame, corpus, monkeypatch, limit):
+    monkeypatch.setattr(lm_score, "SEGMENT_TOKENS", 700)  # several segments
+    monkeypatch.setattr(lm_score, "KEY_BITS", 64)  # levels that pass by chance are rare
+    ids = [*range(len(corpus)), 7, None]
+    texts = [*corpus, corpus[7], corpus[30]]
+    docs = frame(texts, ids)
+    got = lm_score.score(docs, F.col("doc_id") % 3 != 0, max_filter=limit).collect()
+    want = brute_model(texts, [i is not None and i % 3 != 0 for i in ids])
+    key = lambda x: (x[0] is None, x[0] or 0)
+    got, want = sorted(((r["doc_id"], r["score"]) for r in got), key=key), sorted(zip(ids, want, strict=True), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    close = [abs(x - y) <= 1e-9 * max(1, abs(y)) for (_, x), (_, y) in zip(got, want, strict=True)]
+    assert np.mean(close) > 0.9
+    assert all(abs(x - y) < 0.05 * max(1, abs(y)) for (_, x), (_, y) in zip(got, want, strict=True))
+
+
+def brute_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney with dictionaries: {n-gram: P} and {context: weight} for each order."""
+    folded = [" " + "".join(c if c.isalpha() else " " for c in t.lower()) + " " for t in texts]
+    folded = [re.sub(" +", " ", t) for t in folded]
+    counts = [collections.Counter(t[i - n + 1 : i + 1] for t in folded for i in range(max(n - 1, 1), len(t))) for n in range(1, order + 1)]
+    probs, weights = [], []
+    for n in range(1, order + 1):
+        c = counts[n - 1]
+        if n < order:
+            tails = collections.Counter(g[1:] for g in counts[n])
+            c = {g: tails.get(g, 0) or 1 for g in c}
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        weights.append({x: d * kinds[x] / total[x] for x in total})
+        probs.append({g: (v - d) / total[g[:-1]] + weights[-1][g[:-1]] * (probs[-1][g[1:]] if n > 1 else 1 / (len(c) + 1)) for g, v in c.items()})
+    return probs, weights
+
+
+def test_language_model_equals_dictionaries():
+    import random
+
+    r = random.Random(2)
+    texts = {x: ["".join(r.choice(letters) for _ in range(r.randint(3, 60))) for _ in range(40)] for x, letters in (("x", "aab c"), ("y", "bcdd É1"))}
+    model = language_id.fit(texts, order=3)
+    for j, x in enumerate(sorted(texts)):
+        learnt = [t for t in texts[x] if any(map(str.isalpha, t))]
+        learnt = [t for i, t in enumerate(learnt) if i % language_id.HELD_SHARE]
+        probs, weights = brute_kneser_ney(learnt, 3)
+        floor = weights[0][""] * language_id._UNSEEN
+
+        def p(g):
+            if not g:
+                return floor
+            return probs[len(g) - 1][g] if g in probs[len(g) - 1] else weights[len(g) - 1].get(g[:-1], 1.0) * p(g[1:])
+
+        for g in ["abc", "aaa", "cab", " ab", "b c", "ddé", "éd ", "xyz", "dxb", "abx", "a", " a", "zz"]:
+            codes = np.array([ord(c) for c in g], np.uint64)
+            got = model.log_probs(language_id.gram_keys(codes, 3), np.array([len(g) - 1]), len(g))[0, j]
+            want = math.log(p(g)) if len(g) > 1 or g in probs[0] else math.log(floor)
+            assert got == pytest.approx(want, abs=2e-3), (x, g)
+
+
+def test_language_of_long_texts_and_many_languages(spark):
+    long = {"aa": "aba bab " * 40_000, "bb": "cdc dcd " * 10}
+    docs = spark.createDataFrame([(i, long[x], x) for i, x in enumerate(long)] + [(9, None, "cc"), (10, "12 3", "dd")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, F.lit(True), max_chars=50_000).collect()}
+    assert got == {0: "aa", 1: "bb", 9: "und", 10: "und"}
+    model = language_id.train(docs, F.lit(True), max_chars=50_000, max_total=60_000)
+    assert model.langs == ["aa", "bb"]
 
 
 def test_quality_training_rows_do_not_depend_on_row_order(spark, frame, monkeypatch):
