@@ -34,7 +34,7 @@ from . import arrays as A
 ORDER = 4
 #: Characters that each language's counts are taken from, about, and all languages' together.
 MAX_CHARS, MAX_TOTAL = 3_000_000, 24_000_000
-#: Characters of a text that are picked together.
+#: Characters of a text that are picked together, at most.
 SPAN = 20_000
 #: Share of a language's sampled documents kept for its threshold.
 HELD_SHARE = 10
@@ -60,8 +60,7 @@ def _fold_table() -> np.ndarray:
 def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters in lower case with single breaks (32) between words, and text starts.
 
-    Every text begins with a break and ends with one; one without letters is a
-    single break.
+    Every text begins with a break; one without letters is a single break.
     """
     joined = "\n".join(["", *texts, ""])
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -83,6 +82,10 @@ def places(n_codes: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc, np.where(doc < len(begin) - 1, position - begin[np.minimum(doc, len(begin) - 1)], -1)
 
 
+#: Odd numbers without a common relation, one for each place in an n-gram.
+_FACTORS = A.mix(np.arange(16, dtype=np.uint64), 60) | np.uint64(1)
+
+
 def gram_keys(codes: np.ndarray, order: int) -> list[np.ndarray]:
     """keys[n][i]: hash of the n codes that end at i, for i >= n - 1 (0 before)."""
     keys = [np.zeros(len(codes), np.uint64)]
@@ -90,7 +93,7 @@ def gram_keys(codes: np.ndarray, order: int) -> list[np.ndarray]:
         key = np.zeros(len(codes), np.uint64)
         for back in range(n):
             part = codes[: len(codes) - back] if back else codes
-            key[back:] += part * np.uint64((0x9E3779B97F4A7C15 * (2 * back + 1) + 2 * back) & ((1 << 64) - 1) | 1)
+            key[back:] += part * _FACTORS[back]
         key = A.mix(key, n)
         key[: n - 1] = 0
         keys.append(key)
@@ -292,10 +295,10 @@ def train(docs: DataFrame, rows: Column, order: int = ORDER, max_chars: int = MA
         return fit({}, order)
     most = min(max_chars, max(1, max_total // len(sizes)))
     cut = F.element_at(F.create_map(*[F.lit(v) for k, size in sizes.items() for v in (k, int(1_000_000 * min(1.0, most / size)))]), F.col("lang"))
-    spans = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("text"), F.lit(1)) - 1) / SPAN).cast("int"))
+    span = max(200, min(SPAN, most // 50))  # many spans a language, so that some are picked of each
+    spans = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("text"), F.lit(1)) - 1) / span).cast("int"))
     picked = F.filter(spans, lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit("lang")), F.lit(1_000_000)) < cut)
-    # Of a language that fits the bound all is taken, so none with a text is left out.
-    got = usable.select("doc_id", "lang", "text", F.explode(picked).alias("at")).select("doc_id", "lang", "at", F.substr("text", F.col("at") * SPAN + 1, F.lit(SPAN)).alias("text"))
+    got = usable.select("doc_id", "lang", "text", F.explode(picked).alias("at")).select("doc_id", "lang", "at", F.substr("text", F.col("at") * span + 1, F.lit(span)).alias("text"))
     got = got.toArrow().sort_by([(c, "ascending") for c in ("lang", "doc_id", "at", "text")])
     texts: dict[str, list[str]] = {}
     for lang, text in zip(got["lang"].to_pylist(), got["text"].to_pylist(), strict=True):

@@ -99,6 +99,34 @@ def test_rules_base_counts(spark, frame, corpus):
         assert not (got[i]["kept"] and got[i]["base_failed"])
 
 
+def test_rules_ratio_and_threshold_by_brute_force(spark, frame, corpus):
+    import pyarrow as pa
+
+    from larkspan.llm import arrays
+
+    texts = [*corpus, corpus[9]]
+    good = {i for i in range(8, 30)}
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(40, 0), (None, 1), (9, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_rules.verdicts(frame(texts), labels).collect()}
+    grams = []
+    for t in texts:
+        (chunk,) = arrays.chunks([pa.RecordBatch.from_pydict({"text": pa.array([t], pa.string())})])
+        grams.append(quality_rules._buckets(docstats.Stats(chunk))[0].tolist())
+    raw = collections.Counter(b for g in grams for b in g)
+    target = collections.Counter(b for i, g in enumerate(grams) if i in good for b in g)
+    n_raw, n_target = (sum(c.values()) + quality_rules.BUCKETS for c in (raw, target))
+    ratio = {b: math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in raw}
+    llr = [sum(ratio[b] for b in g) / max(len(g), 1) for g in grams]
+    for i in range(len(texts)):
+        assert got[i]["llr"] == pytest.approx(llr[i], abs=1e-9)
+    trusted = [llr[i] for i in good if not got[i]["base_failed"]]
+    middle = float(np.median(trusted))
+    threshold = middle - quality_rules.SPREAD * max(float(np.median(np.abs(np.array(trusted) - middle))), 1e-3)
+    for i in range(len(texts)):
+        assert got[i]["threshold"] == pytest.approx(threshold, abs=1e-9)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and llr[i] >= threshold - 1e-12)
+
+
 def test_rules_without_target_or_rows(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_rules.verdicts(frame(["a b c d e f g h i j k", None]), none).collect()
@@ -196,7 +224,7 @@ def test_lm_scores_against_exact_counts(frame, corpus, monkeypatch, limit):
 
 def brute_kneser_ney(texts, order):
     """Interpolated Kneser-Ney with dictionaries: {n-gram: P} and {context: weight} for each order."""
-    folded = [" " + "".join(c if c.isalpha() else " " for c in t.lower()) + " " for t in texts]
+    folded = [" " + "".join(c if c.isalpha() else " " for c in t.lower()) for t in texts]
     folded = [re.sub(" +", " ", t) for t in folded]
     counts = [collections.Counter(t[i - n + 1 : i + 1] for t in folded for i in range(max(n - 1, 1), len(t))) for n in range(1, order + 1)]
     probs, weights = [], []
@@ -229,15 +257,14 @@ def test_language_model_equals_dictionaries():
         floor = weights[0][""] * language_id._UNSEEN
 
         def p(g):
-            if not g:
-                return floor
-            return probs[len(g) - 1][g] if g in probs[len(g) - 1] else weights[len(g) - 1].get(g[:-1], 1.0) * p(g[1:])
+            if g in probs[len(g) - 1]:
+                return probs[len(g) - 1][g]
+            return weights[len(g) - 1].get(g[:-1], 1.0) * p(g[1:]) if len(g) > 1 else floor
 
         for g in ["abc", "aaa", "cab", " ab", "b c", "ddé", "éd ", "xyz", "dxb", "abx", "a", " a", "zz"]:
             codes = np.array([ord(c) for c in g], np.uint64)
             got = model.log_probs(language_id.gram_keys(codes, 3), np.array([len(g) - 1]), len(g))[0, j]
-            want = math.log(p(g)) if len(g) > 1 or g in probs[0] else math.log(floor)
-            assert got == pytest.approx(want, abs=2e-3), (x, g)
+            assert got == pytest.approx(math.log(p(g)), abs=2e-3), (x, g)
 
 
 def test_language_of_long_texts_and_many_languages(spark):
@@ -259,3 +286,60 @@ def test_quality_training_rows_do_not_depend_on_row_order(spark, frame, monkeypa
         got.append(quality_model.train(quality_model.statistics(rows), labels, F.lit(True), max_rows=4))
     assert got[0] == got[1]
     assert len(got[0][1]) == 8
+
+
+def test_one_tree_against_a_direct_search():
+    """Every split is the best of all cuts of all features, by plain sums over the node's rows."""
+    r = np.random.default_rng(4)
+    x = r.integers(0, 40, size=(400, 5)).astype(np.float32)
+    y = ((x[:, 1] + x[:, 3] > 40) ^ (r.random(400) < 0.1)).astype(float)
+    model = quality_model.fit(x, y, trees=1)
+    share = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - share, np.full(len(y), share * (1 - share))
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality_model.BINS + 1)[1:-1])) for f in range(5)]
+
+    def gain(rows, f, c):
+        left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+        if min(h[left].sum(), h[right].sum()) < quality_model.LEAST_WEIGHT:
+            return -1.0
+        part = lambda k: g[k].sum() ** 2 / (h[k].sum() + quality_model.RIDGE)
+        return part(left) + part(right) - part(rows)
+
+    def check(node, rows):
+        if node >= 2**quality_model.DEPTH - 1:
+            want = quality_model.RATE * g[rows].sum() / (h[rows].sum() + quality_model.RIDGE)
+            assert model.leaf[0][node - (2**quality_model.DEPTH - 1)] == pytest.approx(want, abs=1e-9)
+            return
+        best = max((gain(rows, f, c) for f in range(5) for c in cuts[f]), default=-1.0)
+        f, c = int(model.feature[0][node]), model.cut[0][node]
+        if np.isinf(c):
+            assert best <= 1e-6 + 1e-9
+        else:
+            assert gain(rows, f, c) == pytest.approx(best, rel=1e-6)
+        check(2 * node + 1, rows[x[rows, f] <= c])
+        check(2 * node + 2, rows[x[rows, f] > c])
+
+    check(0, np.arange(len(x)))
+
+
+def test_labels_of_one_document_count_once(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality_model.sampled(labels, F.lit(True)).collect())) == [(1, 1), (3, 0)]
+
+
+def test_very_long_texts(spark, frame):
+    import random
+
+    from larkspan.llm import near_dedup, substring_dedup
+
+    r = random.Random(8)
+    vocab = [f"word{i}" for i in range(5000)]
+    long = " ".join(r.choice(vocab) for _ in range(400_000))  # 3.5 MB
+    docs = frame([long, "short text here", long + " end"])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert language_id.identify(docs, F.lit(True)).count() == 3
+    assert quality_model.score(docs, labels, F.lit(True)).count() == 3
+    assert sorted(x["n_tokens"] for x in lm_score.score(docs, F.lit(True)).collect()) == [4, 400_001, 400_002]
+    assert sorted(x["n_words"] for x in quality_rules.verdicts(docs, labels).collect()) == [3, 400_000, 400_001]
+    assert sorted((x["doc_id"], x["n_removed"]) for x in substring_dedup.dedup(docs).collect()) == [(0, 0), (1, 0), (2, 400_000)]
+    assert {x["ord"]: x["class_id"] for x in near_dedup.classes(docs).collect()} == {0: 0, 1: 1, 2: 0}
