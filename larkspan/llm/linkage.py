@@ -7,7 +7,7 @@ leaders in other buckets.  Work is in proportion to the rows of the buckets:
    alike form components.
 2. In buckets of more than CROWD rows that lie in several components, a few members
    of every component are compared with members of the bucket's largest one.  This is
-   repeated with other members until a round adds no link, so a large group of near
+   repeated with other members until no bucket adds a link, so a large group of near
    copies costs a few comparisons a row.
 3. In buckets of up to CROWD rows all pairs of rows from different components are
    compared: at most CROWD - 1 a row.
@@ -33,6 +33,8 @@ from .scratch import Scratch
 CROWD = 16
 #: Members of a component that are compared in a round.
 TRIES = 3
+#: Rounds that take all crowded buckets in turn, so that later ones see what earlier ones joined.
+SHARES = 4
 
 Verify = Callable[[DataFrame, int, str], DataFrame]
 
@@ -145,10 +147,11 @@ def _round(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
     names = [f"rep{t}" for t in range(TRIES)]
     tops = parts.groupBy("key").agg(F.max_by(F.struct("comp", *names), F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     both = parts.join(tops, "key").where("comp <> top.comp")
-    tries = F.array(*(F.struct(F.lit(t).alias("t"), *_ordered(F.col(x), F.col(f"top.{x}"))) for t, x in enumerate(names)))
-    each = both.select(F.least("comp", "top.comp").alias("u"), F.greatest("comp", "top.comp").alias("v"), F.explode(tries).alias("try"))
-    one = each.groupBy("u", "v", "try.t").agg(F.min(F.struct("try.a", "try.b")).alias("pair"))
-    return one.select("pair.a", "pair.b").distinct()
+    pairs = [F.struct(*_ordered(F.col(x), F.col(f"top.{x}"))).alias(x) for x in names]
+    each = both.select(F.least("comp", "top.comp").alias("u"), F.greatest("comp", "top.comp").alias("v"), *pairs)
+    # A pair of rows belongs to one pair of components, so what is distinct there is distinct.
+    one = each.groupBy("u", "v").agg(F.array_distinct(F.array(*(F.min(x) for x in names))).alias("pairs"))
+    return one.select(F.explode("pairs").alias("pair")).select("pair.a", "pair.b")
 
 
 def _similar(x: str, y: str) -> str:
@@ -161,11 +164,12 @@ def _linked(work: Scratch, rows: DataFrame, crowded: int, groups: _Groups, tried
     best = stars.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
     groups.join(*tried(best.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), f"{name}-lead"), f"{name}-lead")
 
-    step, n = 0, crowded
-    while n:
-        links, n = tried(_round(rows.where(F.col("n") > CROWD), groups.found, step), f"{name}-{step}")
+    step, quiet = 0, 0 if crowded else SHARES
+    while quiet < SHARES:
+        mine = rows.where((F.col("n") > CROWD) & (F.pmod(F.xxhash64("key"), F.lit(SHARES)) == step % SHARES))
+        links, n = tried(_round(mine, groups.found, step), f"{name}-{step}")
         groups.join(links, n, f"{name}-{step}")
-        step += 1
+        step, quiet = step + 1, 0 if n else quiet + 1
 
     small = _labelled(rows.where(F.col("n") <= CROWD), groups.found).select("key", "id", "size", "comp")
     mixed = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
