@@ -42,6 +42,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
         _LIVE.append((spark, self.root))
 
     def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -54,14 +55,16 @@ class Scratch:
     def counted(self, df: DataFrame, name: str, rows: int | None = None, where: Column | str = "true") -> tuple[DataFrame, int]:
         """``save``, and the number of rows where a condition holds, counted while writing."""
         path, seen = f"{self.root}/{name}", Observation()
+        self.names.append(name)
         parts = df if rows is None else df.coalesce(rows // TASK_ROWS + 1)
         parts.observe(seen, F.count_if(F.expr(where) if isinstance(where, str) else where).alias("n")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        for name in names:
+    def only(self, *names: str) -> None:
+        """Delete all tables but ``names``, when nothing reads the others any more."""
+        for name in set(self.names) - set(names):
             _delete(self.spark, f"{self.root}/{name}")
+        self.names = [x for x in self.names if x in names]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
