@@ -37,3 +37,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).head(1)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_only_the_optional_module_itself_may_be_absent(tmp_path, monkeypatch):
+    import __spark_entry__
+
+    (tmp_path / "broken_module.py").write_text("import a_module_that_nobody_has\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert __spark_entry__._optional("another_module_that_nobody_has") is None
+    with pytest.raises(ModuleNotFoundError, match="a_module_that_nobody_has"):
+        __spark_entry__._optional("broken_module")
