@@ -5,8 +5,8 @@ leaders in other buckets.  Work is in proportion to the rows of the buckets:
 
 1. Each row is compared with the leader it shares most buckets with.  Rows found
    alike form components.
-2. In buckets of more than CROWD rows that lie in several components, a few members
-   of every component are compared with members of the bucket's largest one.  This is
+2. In buckets of more than CROWD rows, a few members of every component are compared
+   with members of the bucket's largest one.  Where that has half of the rows this is
    repeated with other members until no bucket adds a link, so a large group of near
    copies costs a few comparisons a row.
 3. In buckets of up to CROWD rows all pairs of rows from different components are
@@ -141,11 +141,15 @@ def _parts(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
     return _labelled(rows, found).groupBy("key", "comp").agg(F.count("*").alias("rows"), *reps)
 
 
-def _round(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
-    """Pairs between the largest component of each bucket and the others."""
+def _round(rows: DataFrame, found: DataFrame, step: int, half: bool) -> DataFrame:
+    """Pairs between the largest component of each bucket and the others.
+
+    With ``half``, only in buckets of which the largest component has half of the rows.
+    """
     parts = _parts(rows, found, step)
     names = [f"rep{t}" for t in range(TRIES)]
-    tops = parts.groupBy("key").agg(F.max_by(F.struct("comp", *names), F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    tops = parts.groupBy("key").agg(F.max_by(F.struct("comp", *names), F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
+    tops = tops.where("comps > 1 AND 2 * most >= all" if half else "comps > 1").select("key", "top")
     both = parts.join(tops, "key").where("comp <> top.comp")
     pairs = [F.struct(*_ordered(F.col(x), F.col(f"top.{x}"))).alias(x) for x in names]
     each = both.select(F.least("comp", "top.comp").alias("u"), F.greatest("comp", "top.comp").alias("v"), *pairs)
@@ -167,7 +171,7 @@ def _linked(work: Scratch, rows: DataFrame, crowded: int, groups: _Groups, tried
     step, quiet = 0, 0 if crowded else SHARES
     while quiet < SHARES:
         mine = rows.where((F.col("n") > CROWD) & (F.pmod(F.xxhash64("key"), F.lit(SHARES)) == step % SHARES))
-        links, n = tried(_round(mine, groups.found, step), f"{name}-{step}")
+        links, n = tried(_round(mine, groups.found, step, half=step >= SHARES), f"{name}-{step}")
         groups.join(links, n, f"{name}-{step}")
         step, quiet = step + 1, 0 if n else quiet + 1
 
