@@ -234,7 +234,7 @@ def odd_dir(spark, frame, corpus, tmp_path):
     docs = frame(texts, [*range(len(corpus)), None, None, 20, 20])
     docs = docs.selectExpr("*", "1 AS __key0", "2 AS __kept", "3 AS __label_id", "'m' AS __mask", "4 AS comp", "5 AS id", "6 AS words")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, None), (None, 1), (5, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(20)] + [(3, None), (None, 1), (5, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, corpus[-1]), (2, None), (None, "changed"), (1, corpus[-1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return str(tmp_path)
 
