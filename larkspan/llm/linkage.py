@@ -31,10 +31,10 @@ from .scratch import Scratch
 
 #: The most rows of a bucket whose rows are all compared.
 CROWD = 16
-#: Members of a component that are compared in a round.
-TRIES = 3
 #: Rounds that take all crowded buckets in turn, so that later ones see what earlier ones joined.
 SHARES = 4
+#: Members of a component that are compared in one of these, and in a later round.
+TRIES, LATER_TRIES = 3, 16
 
 Verify = Callable[[DataFrame, int, str], DataFrame]
 
@@ -134,20 +134,20 @@ class _Tried:
         return self.work.counted(self.verify(pairs, n, name), f"{name}-links", 10 * n)
 
 
-def _parts(rows: DataFrame, found: DataFrame, step: int) -> DataFrame:
+def _parts(rows: DataFrame, found: DataFrame, step: int, tries: int) -> DataFrame:
     """The components of each bucket with their rows and some of their members, other ones at each step."""
-    seeds = [F.xxhash64("key", F.lit(step * TRIES + t)) for t in range(TRIES)]
+    seeds = [F.xxhash64("key", F.lit(step), F.lit(t)) for t in range(tries)]
     reps = [F.min(s.bitwiseXOR(F.col("id"))).bitwiseXOR(s).alias(f"rep{t}") for t, s in enumerate(seeds)]
     return _labelled(rows, found).groupBy("key", "comp").agg(F.count("*").alias("rows"), *reps)
 
 
-def _round(rows: DataFrame, found: DataFrame, step: int, half: bool) -> DataFrame:
+def _round(rows: DataFrame, found: DataFrame, step: int, tries: int, half: bool) -> DataFrame:
     """Pairs between the largest component of each bucket and the others.
 
     With ``half``, only in buckets of which the largest component has half of the rows.
     """
-    parts = _parts(rows, found, step)
-    names = [f"rep{t}" for t in range(TRIES)]
+    parts = _parts(rows, found, step, tries)
+    names = [f"rep{t}" for t in range(tries)]
     tops = parts.groupBy("key").agg(F.max_by(F.struct("comp", *names), F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
     tops = tops.where("comps > 1 AND 2 * most >= all" if half else "comps > 1").select("key", "top")
     both = parts.join(tops, "key").where("comp <> top.comp")
@@ -168,12 +168,14 @@ def _linked(work: Scratch, rows: DataFrame, crowded: int, groups: _Groups, tried
     best = stars.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
     groups.join(*tried(best.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), f"{name}-lead"), f"{name}-lead")
 
-    step, quiet = 0, 0 if crowded else SHARES
-    while quiet < SHARES:
-        mine = rows.where((F.col("n") > CROWD) & (F.pmod(F.xxhash64("key"), F.lit(SHARES)) == step % SHARES))
-        links, n = tried(_round(mine, groups.found, step, half=step >= SHARES), f"{name}-{step}")
+    crowd, step, n = rows.where(F.col("n") > CROWD), 0, crowded
+    while n or 0 < step < SHARES:
+        first = step < SHARES
+        mine = crowd.where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) == step) if first else crowd
+        links, n = tried(_round(mine, groups.found, step, TRIES if first else LATER_TRIES, half=not first), f"{name}-{step}")
         groups.join(links, n, f"{name}-{step}")
-        step, quiet = step + 1, 0 if n else quiet + 1
+        # The round after the first ones is made in any case: it draws more members.
+        step, n = step + 1, n or step + 1 == SHARES
 
     small = _labelled(rows.where(F.col("n") <= CROWD), groups.found).select("key", "id", "size", "comp")
     mixed = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
