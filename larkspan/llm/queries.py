@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_a, queries_b, queries_c, queries_d
+from . import queries_a, queries_b, queries_c, queries_d, queries_e
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +35,11 @@ QUERIES = {
     "op8_line_dedup": shipped(queries_d.op8_line_dedup),
     "op9_packing": shipped(queries_c.op9_packing),
     "op10_minhash_near_dedup": shipped(queries_d.op10_minhash_near_dedup),
+    "op13_filter_audit": shipped(queries_e.op13_filter_audit),
 }
 
 ORACLES = {
     "op1_substring_dedup": queries_b.OP1_SQL,
     "op4_benchmark_decontamination": queries_a.OP4_SQL,
+    "op13_filter_audit": queries_e.OP13_SQL,
 }
