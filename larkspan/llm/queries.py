@@ -35,11 +35,13 @@ QUERIES = {
     "op8_line_dedup": shipped(queries_d.op8_line_dedup),
     "op9_packing": shipped(queries_c.op9_packing),
     "op10_minhash_near_dedup": shipped(queries_d.op10_minhash_near_dedup),
+    "op11_hard_negatives": shipped(queries_e.op11_hard_negatives),
     "op13_filter_audit": shipped(queries_e.op13_filter_audit),
 }
 
 ORACLES = {
     "op1_substring_dedup": queries_b.OP1_SQL,
     "op4_benchmark_decontamination": queries_a.OP4_SQL,
+    "op11_hard_negatives": queries_e.OP11_SQL,
     "op13_filter_audit": queries_e.OP13_SQL,
 }
