@@ -36,6 +36,7 @@ QUERIES = {
     "op9_packing": shipped(queries_c.op9_packing),
     "op10_minhash_near_dedup": shipped(queries_d.op10_minhash_near_dedup),
     "op11_hard_negatives": shipped(queries_e.op11_hard_negatives),
+    "op12_vector_dedup": shipped(queries_e.op12_vector_dedup),
     "op13_filter_audit": shipped(queries_e.op13_filter_audit),
 }
 
@@ -43,5 +44,6 @@ ORACLES = {
     "op1_substring_dedup": queries_b.OP1_SQL,
     "op4_benchmark_decontamination": queries_a.OP4_SQL,
     "op11_hard_negatives": queries_e.OP11_SQL,
+    "op12_vector_dedup": queries_e.OP12_SQL,
     "op13_filter_audit": queries_e.OP13_SQL,
 }
