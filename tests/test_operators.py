@@ -159,3 +159,37 @@ def test_sessions_and_duplicates_of_a_stream(spark, tmp_path):
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [1, 3]
     streaming.drain(streaming.distinct(streaming.events(spark, str(tmp_path / "in")), ["user_id"], "1 minute"), str(tmp_path / "d"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == 4
+
+
+def _walked(left, right):
+    """The last value of each row's key by then; rows are (key, id, time) and (key, value, time)."""
+    out = {}
+    for k, i, t in left:
+        mine = [(u, v) for m, v, u in right if m == k and k is not None and t is not None and u is not None and u <= t]
+        out[i] = max(mine, key=lambda x: x[0])[1] if mine else None
+    return out
+
+
+@pytest.mark.parametrize("hot", [5, 40, 1_000_000])
+def test_asof_join_with_hot_keys_cut_into_cells(spark, hot):
+    import random
+
+    r = random.Random(hot)
+    base = dt.datetime(2024, 1, 1)
+    left = [(0 if i % 3 else r.randrange(1, 9), i, base + dt.timedelta(seconds=r.randrange(3000) ** 2 // 900)) for i in range(500)] + [(None, 900, base), (0, 901, None)]
+    times = r.sample(range(9000), 120)
+    right = [(0 if j % 2 else r.randrange(1, 9), None if j % 11 == 0 else f"v{j}", base + dt.timedelta(seconds=t)) for j, t in enumerate(times)] + [(None, "x", base), (0, "y", None)]
+    a = spark.createDataFrame(left, "k int, i int, t timestamp").withColumns({"side": F.lit("s"), "cell": F.lit(1), "found": F.lit(2.0), "row": F.lit(3)})
+    b = spark.createDataFrame(right, "k int, v string, t timestamp")
+    got = {x["i"]: x["v"] for x in temporal.asof(a, b, "k", "t", "t", ["v"], hot=hot).collect()}
+    assert got == _walked(left, right)
+
+
+def test_cells_of_a_hot_key_are_even(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") % 1000 + 10).cast("int")).alias("k"), (F.lit(base) + F.make_dt_interval(secs=F.pow("id", F.lit(2.0)) % 1_000_003)).alias("t"))
+    cells = {r["hot_k"]: r["cuts"] for r in temporal._cells(rows, 300).collect()}
+    assert set(cells) == {7} and len(cells[7]) >= 9
+    cut = rows.where("k = 7").withColumn("cell", F.size(F.filter(F.array(*map(F.lit, cells[7])), lambda c: c <= F.unix_micros("t"))))
+    sizes = sorted(r["count"] for r in cut.groupBy("cell").count().collect())
+    assert sum(sizes) == 3000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
