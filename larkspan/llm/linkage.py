@@ -6,17 +6,18 @@ leaders in other buckets.  Work is in proportion to the rows of the buckets:
 1. Each row is compared with the leader it shares most buckets with.  Rows found
    alike form components.
 2. In buckets of more than CROWD rows, a few members of every component are compared
-   with members of the bucket's largest one.  Where that has half of the rows this is
-   repeated with other members until no bucket adds a link, so a large group of near
-   copies costs a few comparisons a row.
+   with members of the bucket's largest one, so a large group of near copies costs a
+   few comparisons a row.  This only saves work: it decides nothing.
 3. In buckets of up to CROWD rows all pairs of rows from different components are
    compared: at most CROWD - 1 a row.
-4. Crowded buckets in which no component has half of the rows hold unlike rows that
-   share something common.  They are split by further keys of their rows, and the
-   parts are treated as buckets.
-
-So a pair that meets in a bucket of up to CROWD rows, or in such a part, is never
-missed; the others are joined through the members they are like.
+4. Crowded buckets that still hold several components share something common.  All their
+   rows get further keys, made of the words that are rare among them, and go through
+   steps 1 to 3 again with these.
+5. Where even such a bucket is crowded and holds several components, all pairs of rows
+   from different components are compared.
+
+So rows that share a bucket are apart in the end only if they are not alike or share no
+key of step 4; what those keys guarantee is said where they are made.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from .scratch import Scratch
 
 #: The most rows of a bucket whose rows are all compared.
 CROWD = 16
-#: Rounds that take all crowded buckets in turn, so that later ones see what earlier ones joined.
-SHARES = 4
-#: Members of a component that are compared in one of these, and in a later round.
+#: Rounds that take all crowded buckets in turn, so that later ones see what earlier ones joined,
+#: and the rows of crowded buckets up to which one round takes all.
+SHARES, ONE_SHARE = 4, 50_000
+#: Members of a component that are compared in one of these, and in the round after them.
 TRIES, LATER_TRIES = 3, 16
 
 Verify = Callable[[DataFrame, int, str], DataFrame]
@@ -57,7 +59,9 @@ def components(work: Scratch, edges: DataFrame, name: str, most: int | None = No
     while n:
         hooks, jump, moving = edges.groupBy("b").agg(F.min("a").alias("p")), 0, 1
         while moving:
-            hooks, moving = work.counted(onward(onward(hooks).select("b", "p")), f"{name}-h{step}-{jump}", most, "moved")
+            # Most chains of hooks end within the three steps.
+            far = onward(onward(hooks).select("b", "p")).select("b", "p")
+            hooks, moving = work.counted(onward(far), f"{name}-h{step}-{jump}", most, "moved")
             hooks, jump = hooks.select("b", "p"), jump + 1
         new = hooks.select(F.col("b").alias("id"), F.col("p").alias("root"))
         if found is not None:
@@ -168,21 +172,29 @@ def _linked(work: Scratch, rows: DataFrame, crowded: int, groups: _Groups, tried
     best = stars.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
     groups.join(*tried(best.select(*_ordered(F.col("id"), F.col("lead"))).distinct(), f"{name}-lead"), f"{name}-lead")
 
-    crowd, step, n = rows.where(F.col("n") > CROWD), 0, crowded
-    while n or 0 < step < SHARES:
-        first = step < SHARES
-        mine = crowd.where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) == step) if first else crowd
-        links, n = tried(_round(mine, groups.found, step, TRIES if first else LATER_TRIES, half=not first), f"{name}-{step}")
+    crowd, shares = rows.where(F.col("n") > CROWD), 1 if crowded <= ONE_SHARE else SHARES
+    for step in range((shares + (shares > 1)) if crowded else 0):
+        last = step == shares
+        mine = crowd if last else crowd.where(F.pmod(F.xxhash64("key"), F.lit(shares)) == step)
+        links, n = tried(_round(mine, groups.found, step, LATER_TRIES if last else TRIES, half=last), f"{name}-{step}")
         groups.join(links, n, f"{name}-{step}")
-        # The round after the first ones is made in any case: it draws more members.
-        step, n = step + 1, n or step + 1 == SHARES
 
-    small = _labelled(rows.where(F.col("n") <= CROWD), groups.found).select("key", "id", "size", "comp")
-    mixed = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    small = work.save(small.join(mixed, "key"), f"{name}-mixed")
-    other = small.select("key", F.col("id").alias("o_id"), F.col("size").alias("o_size"), F.col("comp").alias("o_comp"))
-    pairs = small.join(other, "key").where("comp < o_comp").where(_similar("size", "o_size"))
-    groups.join(*tried(pairs.select(*_ordered(F.col("id"), F.col("o_id"))).distinct(), f"{name}-rest"), f"{name}-rest")
+    _across(work, rows.where(F.col("n") <= CROWD), groups, tried, f"{name}-rest")
+
+
+def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows, with comp, of those buckets that hold several components."""
+    rows = _labelled(rows, found)
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return rows.join(mixed, "key")
+
+
+def _across(work: Scratch, rows: DataFrame, groups: _Groups, tried: _Tried, name: str) -> None:
+    """Compare all rows of different components that share one of the buckets."""
+    rows = work.save(_mixed(rows, groups.found).select("key", "id", "size", "comp"), f"{name}-mixed")
+    other = rows.select("key", F.col("id").alias("o_id"), F.col("size").alias("o_size"), F.col("comp").alias("o_comp"))
+    pairs = rows.join(other, "key").where("comp < o_comp").where(_similar("size", "o_size"))
+    groups.join(*tried(pairs.select(*_ordered(F.col("id"), F.col("o_id"))).distinct(), name), name)
 
 
 def link(work: Scratch, things: DataFrame, verify: Verify, split: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -191,18 +203,18 @@ def link(work: Scratch, things: DataFrame, verify: Verify, split: Callable[[Data
     ``things`` has columns id, size and keys; the sizes of alike things are within a
     fifth of each other.  ``verify`` takes distinct pairs (a, b), their number and a
     name, and returns those that are alike; all ids it is asked about are in the table
-    ``0-rows`` of ``work``.  ``split`` takes rows (key, pos of the key, id, size) of
-    crowded buckets and returns rows with more keys.
+    ``0-rows`` of ``work``.  ``split`` takes a written table of rows (key, pos of the key,
+    id, size) of crowded buckets and returns rows with further keys.
     """
     tried, groups = _Tried(work, verify), _Groups(work)
     rows, crowded = shared(work, things.select("id", "size", F.posexplode("keys").alias("pos", "key")), "0")
     _linked(work, rows, crowded, groups, tried, "0")
     if not crowded:
         return groups.found
-    crowd = rows.where(F.col("n") > CROWD)
-    most = _labelled(crowd, groups.found).groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max("rows").alias("most"), F.sum("rows").alias("all"))
-    apart, keys = work.counted(most.where("2 * most < all").select("key"), "apart")
-    if keys:
-        more, crowded = shared(work, split(crowd.join(apart, "key").select("key", "pos", "id", "size")).select("key", "id", "size"), "1")
+    apart, n = work.counted(_mixed(rows.where(F.col("n") > CROWD), groups.found).select("key", "pos", "id", "size"), "apart")
+    if n:
+        more, crowded = shared(work, split(apart).select("key", "id", "size").distinct(), "1")
         _linked(work, more, crowded, groups, tried, "1")
+        if crowded:
+            _across(work, more.where(F.col("n") > CROWD), groups, tried, "last")
     return groups.found

@@ -13,8 +13,8 @@ Few five-word k-mers survive in short texts, so texts of up to SHORT / SIMILARIT
 words also have WORD_SKETCHES sketches of WORD_ORDER k-mers of one word.  Of texts
 with scattered changes a few stay apart: the README gives the recall.
 
-Crowded buckets of unlike texts, such as those of a common passage, are split by
-pairs of sketches (see the module linkage).
+Texts that share crowded buckets with unlike ones, such as those of a common passage,
+also meet by pairs of words that are rare among them (modules linkage and rare_words).
 
 Equal texts (by 128 bits of hashes and the length) are one class from the start and
 take part as one representative.
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from . import rare_words as R
 from .keys import LAST, order_key, second_print, sent, spare_name, without
 from .linkage import link
 from .scratch import Scratch
@@ -48,8 +49,6 @@ SIMILARITY = 0.8
 #: A pair whose shorter text has at most so many words has sketches of single words.
 SHORT = 40
 WORD_SKETCHES, WORD_ORDER = 32, 3
-#: In crowded buckets a sketch is paired with so many next ones.
-SPAN = 3
 
 
 def _labelled(grams: np.ndarray) -> np.ndarray:
@@ -195,15 +194,41 @@ def _align(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """Keys of pairs of sketches that stand near each other."""
-    each = rows.groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("k"))
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many rows each slot's words are."""
+    counts = np.zeros(R.SLOTS, np.int64)
+    for batch in batches:
+        for words in batch.column(0):
+            np.add.at(counts, np.unique(np.frombuffer(words.as_buffer(), "<u4")) % R.SLOTS, 1)
+    there = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], ["slot", "n"])
+
+
+def _rare(batches: Iterable[pa.RecordBatch], counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, sizes = [], []
+        for words in batch.column(1):
+            codes = np.frombuffer(words.as_buffer(), "<u4")
+            one = np.unique(codes)
+            hashed = A.mix(one.astype(np.uint64), 35)
+            first, second = R.pairs(hashed[np.lexsort((hashed, counts[one % R.SLOTS]))], len(codes), similarity)
+            keys.append(A.mix(first ^ A.mix(second, 36), 37))
+            sizes.append(len(codes))
+        offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+        flat = A.signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), lists], ["id", "size", "keys"])
 
-    def pairs(x, i):
-        near = F.filter(F.slice("k", i + 2, SPAN), lambda y: y["pos"] - x["pos"] <= SPAN)
-        return F.transform(near, lambda y: F.xxhash64(x["key"], y["key"]))
 
-    return each.select("id", "size", F.explode(F.flatten(F.transform("k", pairs))).alias("key"))
+def _rare_keys(rows: DataFrame, codes: DataFrame, work: Scratch, similarity: float) -> DataFrame:
+    """Keys of the words that are rare among ``rows``."""
+    ids, n = work.counted(rows.select("id").distinct(), "crowd")
+    words = work.save(codes.join(sent(ids, n), F.col("fp") == F.col("id")).select("id", "words"), "crowd-words")
+    counts = np.zeros(R.SLOTS, np.int64)
+    for r in words.select("words").mapInArrow(_word_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        counts[r["slot"]] = r["n"]
+    found = words.mapInArrow(partial(_rare, counts=np.minimum(counts, 2**31 - 1).astype(np.int32), similarity=similarity), "id long, size long, keys array<long>")
+    return found.select("id", "size", F.explode("keys").alias("key"))
 
 
 def _prints(docs: DataFrame) -> DataFrame:
@@ -240,7 +265,10 @@ def _classes(rows: DataFrame, work: Scratch, similarity: float) -> DataFrame:
         x, y = (known[0].select(F.col("fp").alias(i), F.col("words").alias(w)).join(pairs, i) for i, w in (("a", "x"), ("b", "y")))
         return x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(partial(_align, similarity=similarity), "a long, b long")
 
-    roots = link(work, distinct.select(F.col("fp").alias("id"), "size", "keys"), verify, _split)
+    def split(crowded: DataFrame) -> DataFrame:
+        return _rare_keys(crowded, known[0], work, similarity)
+
+    roots = link(work, distinct.select(F.col("fp").alias("id"), "size", "keys"), verify, split)
     members = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
     linked = members.join(work.spark.read.parquet(f"{work.root}/chosen"), F.col("id") == F.col("fp")).select("fp", "fp2", "root", "first")
     linked = work.save(linked, "linked", 2 * roots.count())

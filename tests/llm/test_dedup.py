@@ -259,3 +259,73 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(min(p), max(p)) for p in pairwise(order)] + [(50, 60), (50, 60)], "a long, b long")
     got = {r["id"]: r["root"] for r in components(Scratch(spark, "test"), edges, "chain").collect()}
     assert got == {x: 1 for x in order if x != 1} | {60: 50}
+
+
+def test_form_documents_that_share_most_of_their_words(frame):
+    """Pairs whose every common run of words is a form that all others share too."""
+    import random
+
+    r = random.Random(21)
+    form = [f"form{k}" for k in range(40)]
+    texts = []
+    for p in range(150):
+        one = [f"own{r.randrange(10_000)}" for _ in range(20)]
+        two = list(one)
+        for at in r.sample(range(20), 10):
+            two[at] = f"new{r.randrange(10_000)}"
+        for own in (one, two):
+            texts.append(" ".join(form[:20] + own + form[20:]) if p % 2 else " ".join(form + own))
+    found = {x["ord"]: x["class_id"] for x in near_dedup.classes(frame(texts)).collect()}
+    hits = sum(found[i] == found[i + 1] for i in range(0, 300, 2))
+    print(f"form documents: {hits} of 150")
+    assert hits >= 0.95 * 150
+    assert len(set(found.values())) >= 150 - 3
+
+
+@pytest.mark.parametrize("values", [75, 38, 19])
+def test_lines_of_one_template(frame, values):
+    """Eight fixed words and four fields: every bucket is crowded with lines of the template."""
+    import random
+
+    r = random.Random(values)
+    lines = []
+    for _ in range(1500):
+        f = [f"f{k}v{r.randrange(values)}" for k in range(4)]
+        lines.append(("a", f[0], "b", "c", f[1], "d", "e", f[2], "g", "h", f[3], "i"))
+    lines = list(dict.fromkeys(lines))
+    root = groups_of(len(lines), alike_lines(lines))
+    gone = {i for i in range(len(lines)) if root[i] != i}
+    kept = {x["ord"] for x in line_dedup.kept_lines(frame([" ".join(x) for x in lines])).collect()}
+    left = set(range(len(lines))) & kept
+    print(f"lines of a template, {values} values: {len(gone - left)} of {len(gone)}")
+    assert set(range(len(lines))) - left <= gone
+    assert len(gone - left) >= 0.99 * len(gone) > 0
+
+
+def test_first_words_are_enough_for_every_alike_pair():
+    import random
+
+    import numpy as np
+
+    from larkspan.llm import rare_words
+
+    r = random.Random(8)
+    tried = 0
+    for _ in range(4000):
+        n = r.randint(5, 60)
+        a = [r.randrange(40) for _ in range(n)]
+        b = list(a)
+        for _ in range(r.randint(0, n // 5 + 2)):
+            at = r.randrange(len(b))
+            b[at : at + r.randint(0, 1)] = [r.randrange(40)] * r.randint(0, 1)
+        if not b or distance(a, b) > int(0.2 * max(n, len(b)) + 1e-9) or len(set(a) & set(b)) < 2 or len(b) > 60:
+            continue
+        order = list(range(40))
+        r.shuffle(order)
+        keys = []
+        for x in (a, b):
+            u, v = rare_words.pairs(np.array(sorted(set(x), key=order.index)), len(x), 0.8)
+            keys.append(set(zip(u.tolist(), v.tolist(), strict=True)))
+        assert keys[0] & keys[1]
+        tried += 1
+    assert tried > 1000
