@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators import ranks
 from larkspan.plans.registry import query
 from larkspan.sources import table
 
@@ -45,14 +46,15 @@ _BY_NATION = "PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey"
 
 @query(f"SELECT c_custkey, CAST(ntile(4) OVER ({_BY_NATION}) AS INTEGER) AS quarter FROM customer")
 def ntile_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.ntile(4).over(order).alias("quarter"))
+    rows = ranks.ranked(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey"], "c_acctbal", "c_custkey")
+    return rows.select("c_custkey", ranks.tile(4).alias("quarter"))
 
 
 @query(f"SELECT c_custkey, round(percent_rank() OVER ({_BY_NATION}), 6) AS share FROM customer")
 def percent_rank_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(F.percent_rank().over(order), 6).alias("share"))
+    rows = ranks.ranked(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey"], "c_acctbal", "c_custkey")
+    # The customer's key is part of the order, so no two share a rank.
+    return rows.select("c_custkey", F.round(ranks.percent("row_no"), 6).alias("share"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -78,3 +80,11 @@ def session_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("all"))
     return rows.select("conv_id", "turns", F.array_join("all.role", ">").alias("roles"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(rank() OVER (ORDER BY l_extendedprice) AS BIGINT) AS place, CAST(ntile(100) OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS hundredth FROM lineitem")
+def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and hundredths in the whole table: no task sees more than a cell of the prices."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"))
+    rows = ranks.ranked(lines, [], "l_extendedprice", "id")
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("rank").alias("place"), ranks.tile(100).alias("hundredth"))
