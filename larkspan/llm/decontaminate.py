@@ -104,7 +104,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, work: Scratc
     grams = work.save(windows(benchmark, size), "windows").drop("item_id").dropDuplicates(["window_id"])
     lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())  # at most ``size`` numbers
     n = grams.limit(MAX_BROADCAST_WINDOWS + 1).count()
-    hashed = with_words(keyed(docs)).select("ord", "fp", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    hashed = with_words(keyed(docs)).select("doc_id", "ord", "fp", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
     def places(leads: list[int]) -> Column:
         """Words at which some window's first words stand; windows of fewer than LEAD words have heads of their own."""
@@ -117,19 +117,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, work: Scratc
 
     leads = sorted({min(LEAD, x) for x in lengths})
     at = places(leads) if leads else F.array().cast("array<int>")
-    # size() and slice() both refer to words, so the split stays in a projection of its own;
-    # an outer explode has no inferred filter, which would repeat the split for each window.
-    at = hashed.withColumn("at", at).select("ord", "fp", "words", "hashes", F.explode_outer("at").alias("pos"))
-    each = F.array(*(F.when(F.col("pos") + x <= F.size("words"), F.struct(F.lit(x).alias("length"), _hash(F.slice("hashes", F.col("pos") + 1, F.lit(x))).alias("h"), F.slice("words", F.col("pos") + 1, F.lit(x)).alias("seen"))) for x in lengths or [size]))
-    at = at.select("ord", "fp", "pos", F.explode_outer(F.array_compact(each)).alias("w")).select("ord", "fp", "pos", "w.*")
+    # size() and slice() both refer to words, so the split stays in a projection of its own.
+    placed = hashed.withColumn("at", at)
+
+    def window(pos: Column, length: int) -> Column:
+        """The window of so many words at a place, if the text goes on that far."""
+        part = F.struct(pos.alias("pos"), F.lit(length).alias("length"), _hash(F.slice("hashes", pos + 1, F.lit(length))).alias("h"), F.slice("words", pos + 1, F.lit(length)).alias("seen"))
+        return F.when(pos + length <= F.size("words"), part)
+
+    candidates = F.flatten(F.transform("at", lambda pos: F.array_compact(F.array(*(window(pos, x) for x in lengths or [size])))))
+    # All that is read of the documents: a row each, with the few windows that may be the benchmark's.
+    scanned = work.save(placed.select("doc_id", "ord", "fp", F.size("words").cast("long").alias("n_words"), candidates.alias("candidates")), "scanned")
+    at = scanned.select("ord", "fp", F.explode("candidates").alias("w")).select("ord", "fp", "w.*")
     mine = grams.select("length", "h", "window_id", "gram")
     hit = at.join(F.broadcast(mine) if n <= MAX_BROADCAST_WINDOWS else mine, ["length", "h"]).where(F.col("seen") == F.col("gram"))
     return work.save(hit.select("ord", "fp", "pos", "length", "window_id"), "hits")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, work: Scratch | None = None) -> DataFrame:
     """One row per hit document: ord, fp, n_hit, n_items, items (sorted strings)."""
-    work = Scratch(docs.sparkSession, "decontaminate")
+    work = work or Scratch(docs.sparkSession, "decontaminate")
     found = hits(docs, benchmark, size, work)
     covered = found.select("ord", "fp", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("word"))
     members = work.spark.read.parquet(f"{work.root}/windows").where("item_id IS NOT NULL").select("window_id", "item_id").distinct()
@@ -141,8 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Every document with its words, hit words and items; nothing is dropped."""
-    base = with_words(keyed(docs)).select("doc_id", "ord", "fp", F.size("words").cast("long").alias("n_words"))
-    joined = base.join(contamination(docs, benchmark, size), ["ord", "fp"], "left")
+    work = Scratch(docs.sparkSession, "decontaminate")
+    found = contamination(docs, benchmark, size, work)
+    base = work.spark.read.parquet(f"{work.root}/scanned").select("doc_id", "ord", "fp", "n_words")
+    joined = base.join(found, ["ord", "fp"], "left")
     return joined.select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
