@@ -34,7 +34,7 @@ from .scratch import Scratch
 CROWD = 16
 #: Rounds that take all crowded buckets in turn, so that later ones see what earlier ones joined,
 #: and the rows of crowded buckets up to which one round takes all.
-SHARES, ONE_SHARE = 4, 50_000
+SHARES, ONE_SHARE = 4, 20_000_000
 #: Members of a component that are compared in one of these, and in the round after them.
 TRIES, LATER_TRIES = 3, 16
 

@@ -14,7 +14,7 @@ words also have WORD_SKETCHES sketches of WORD_ORDER k-mers of one word.  Of tex
 with scattered changes a few stay apart: the README gives the recall.
 
 Texts that share crowded buckets with unlike ones, such as those of a common passage,
-also meet by pairs of words that are rare among them (modules linkage and rare_words).
+also meet by pairs and triples of words that are rare among them (modules linkage and rare_words).
 
 Equal texts (by 128 bits of hashes and the length) are one class from the start and
 take part as one representative.
@@ -211,8 +211,10 @@ def _rare(batches: Iterable[pa.RecordBatch], counts: np.ndarray, similarity: flo
             codes = np.frombuffer(words.as_buffer(), "<u4")
             one = np.unique(codes)
             hashed = A.mix(one.astype(np.uint64), 35)
-            first, second = R.pairs(hashed[np.lexsort((hashed, counts[one % R.SLOTS]))], len(codes), similarity)
-            keys.append(A.mix(first ^ A.mix(second, 36), 37))
+            ordered = hashed[np.lexsort((hashed, counts[one % R.SLOTS]))]
+            first, second = R.pairs(ordered, len(codes), similarity)
+            x, y, z = R.triples(ordered, len(codes))
+            keys.append(np.r_[A.mix(first ^ A.mix(second, 36), 37), A.mix(x ^ A.mix(y ^ A.mix(z, 38), 36), 39)])
             sizes.append(len(codes))
         offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
         flat = A.signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)

@@ -3,9 +3,11 @@
 Of two rows alike to 0.8, the larger with n words, all but floor(0.2 n) different words of
 either are words of the other.  So whatever order all words are put in, the first LENGTH of
 the words they share are among the first floor(0.2 n) + LENGTH of each row.  The order is by
-the number of rows that hold a word, rarest first, so the keys tell rows apart: each row's
-keys are the pairs of those first words.  Beyond ALL first words (rows of more than 60 words)
-only pairs that are at most SPAN places apart, of at most MOST first words, are taken.
+the number of rows that hold a word, rarest first, so the keys tell rows apart: the keys of
+rows of up to LONG words are all pairs of those first words, which no alike pair of them
+fails to share (but for rows with a single different word).  Longer rows have many first
+words, and pairs of them meet by chance, so theirs are triples: three of the MOST rarest
+words, each at most two places after the one before.  Rows of up to LONG / 0.8 words have both.
 
 Numbers of rows are counted in SLOTS slots by the hash of the word, a table of bounded size;
 words that share a slot are ordered by their hashes, which every row does alike.
@@ -19,20 +21,20 @@ import numpy as np
 SLOTS = 1 << 17
 #: Words that two rows share at least among their first ones.
 LENGTH = 2
-#: First words of which all pairs are keys, first words at most beyond, and places between two.
-ALL, MOST, SPAN = 14, 34, 3
-
-
-def first_words(n: int, similarity: float) -> int:
-    """The number of first words of a row of ``n`` words that is used."""
-    exact = int((1 - similarity) * n + 1e-9) + LENGTH
-    return exact if exact <= ALL else min(exact, MOST)
+#: Words of a row up to which all pairs of first words are keys, and first words beyond.
+LONG, MOST = 60, 34
 
 
 def pairs(words: np.ndarray, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The first and second words of the keys of a row, given its different words in order and its ``n`` words."""
-    k = first_words(n, similarity)
-    words = words[:k]
+    """First and second words of the keys of a row of ``n`` words, given its different words in order."""
+    words = words[: int((1 - similarity) * n + 1e-9) + LENGTH if n <= LONG / similarity else 0]
     i, j = np.triu_indices(len(words), 1)
-    near = (j - i <= SPAN) | (k <= ALL)
-    return words[i[near]], words[j[near]]
+    return words[i], words[j]
+
+
+def triples(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the keys of three words, which rows of more than LONG words have."""
+    words = words[: MOST if n > LONG else 0]
+    at = [(i, i + a, i + a + b) for a in (1, 2) for b in (1, 2) for i in range(len(words) - a - b)]
+    i, j, k = np.array(at, np.int64).reshape(-1, 3).T
+    return words[i], words[j], words[k]
