@@ -29,7 +29,7 @@ def partial_extremes(key: str, value: str) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-@udtf(returnType=StructType().add("word", StringType()).add("n", LongType()))
+@udtf(returnType=StructType().add("word", StringType()).add("n", LongType()), useArrow=True)
 class WordLengths:
     """Rows of the words of a text and their lengths."""
 

@@ -167,12 +167,22 @@ def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.subtract(b)
 
 
-_COUNT_SQL = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT CAST(n AS INTEGER) AS n FROM t"
-
-
-@query(_COUNT_SQL)
+_TREE = """WITH RECURSIVE e AS (
+  SELECT concat('r', CAST(n_regionkey AS STRING)) AS parent, concat('n', CAST(n_nationkey AS STRING)) AS child FROM nation
+  UNION ALL SELECT concat('n', CAST(s_nationkey AS STRING)), concat('s', CAST(s_suppkey AS STRING)) FROM supplier
+  UNION ALL SELECT concat('n', CAST(c_nationkey AS STRING)), concat('c', CAST(c_custkey AS STRING)) FROM customer
+), t(root, node, depth) AS (
+  SELECT concat('r', CAST(r_regionkey AS STRING)), concat('r', CAST(r_regionkey AS STRING)), 0 FROM region
+  UNION ALL SELECT t.root, e.child, t.depth + 1 FROM t JOIN e ON t.node = e.parent
+)
+SELECT root, depth, count(*) AS n FROM t GROUP BY root, depth"""
+
+
+@query(_TREE)
 def recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_COUNT_SQL)
+    """How many places, suppliers and customers are below each region, level by level."""
+    register(spark, sf_dir, "region", "nation", "supplier", "customer")
+    return spark.sql(_TREE)
 
 
 _LATERAL = "SELECT n_nationkey, n_name, m.top FROM nation, LATERAL (SELECT max(c_acctbal) AS top FROM customer WHERE c_nationkey = n_nationkey) m"

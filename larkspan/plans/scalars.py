@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan import sources
 from larkspan.functions import udfs, vectors
+from larkspan.operators import nearest
 from larkspan.plans.registry import query
 from larkspan.sources import register, table
 
@@ -39,9 +41,6 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
 
 
-#: Query vectors that are sent to all tasks at once.
-BLOCK = 1_000
-
 _SIM = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[]))"
 
 
@@ -51,21 +50,25 @@ _SIM = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding A
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to each vector whose id is divisible by 100.
 
-    The queries are a stated set; they are sent to the tasks in blocks of BLOCK, and each
-    task keeps its own five best before anything is shuffled.
+    The queries are a stated set, held against all rows in strips.
     """
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = rows.where("vec_id % 100 = 0")
-    blocks = queries.count() // BLOCK + 1
-    best = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id")
-    found = None
-    for i in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-        pairs = rows.join(F.broadcast(mine), F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("exact"))
-        top = scored.withColumn("place", F.row_number().over(best)).where("place <= 5")
-        found = top if found is None else found.unionByName(top)
-    return found.select("query_id", "vec_id", F.round("exact", 5).alias("sim"))
+    rows = nearest.units(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = nearest.exact(rows.where("id % 100 = 0"), rows, 5)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("sim", 5).alias("sim"))
+
+
+@query("SELECT vec_id AS query_id, CAST(5 AS BIGINT) AS n, TRUE AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by inverted lists over every row; all queries together find 0.9 of the exact answers at least."""
+    rows = nearest.units(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    index = nearest.build(rows, sources.shared_path(spark, "index"))
+    queries = rows.where("id % 100 = 0")
+    right = nearest.exact(queries, rows, 5).select("query_id", F.col("id").alias("right_id"))
+    found = nearest.search(index, queries, 5)
+    both = found.join(right.withColumnRenamed("query_id", "q"), (F.col("query_id") == F.col("q")) & (F.col("id") == F.col("right_id")), "left")
+    each = both.groupBy("query_id").agg(F.count("*").alias("n"), F.count("right_id").alias("hits"))
+    recall = each.agg((F.sum("hits") >= 0.9 * F.sum("n")).alias("enough"))
+    return each.join(F.broadcast(recall)).select("query_id", "n", "enough")
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,7 +72,7 @@ def write_orc(df: DataFrame, path: str) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that all executors share.
+    """A new folder name below the folder that all executors share; it is deleted at the end of the process.
 
     That is ``spark.checkpoint.dir``; only a local session may do without it.
     """
@@ -78,7 +81,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clear() -> None:
+    """Delete the folders that this process has named, by their path where the session is gone."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        if spark.sparkContext._jsc is not None:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        elif path.startswith("file:"):
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
 
 
 def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:

@@ -1,0 +1,77 @@
+"""Exact and indexed nearest vectors against brute force."""
+
+import numpy as np
+import pytest
+
+from larkspan.operators import nearest
+
+SCHEMA = "i long, v array<float>"
+
+
+def table(spark, rows):
+    return nearest.units(spark.createDataFrame(rows, SCHEMA), "i", "v")
+
+
+def brute(rows, asked, k):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    width = max(len(v) for _, v in good)
+    x = np.array([np.r_[v, np.zeros(width - len(v))] for _, v in good], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([i for i, _ in good])
+    out = {}
+    for n, i in enumerate(ids):
+        if i in asked:
+            s = np.round(x @ x[n], 12)
+            out[int(i)] = [int(j) for j in ids[np.lexsort((ids, -s))] if j != i][:k]
+    return out
+
+
+def got(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: r["place"]):
+        out.setdefault(r["query_id"], []).append(r["id"])
+    return out
+
+
+def random_rows(seed, n, d=8):
+    r = np.random.default_rng(seed)
+    return [(int(i), [float(np.float32(x)) for x in r.integers(-3, 4, d)]) for i in r.permutation(5 * n)[:n]]
+
+
+ODD = [(None, [1.0]), (10_000, None), (10_001, []), (10_002, [0.0, 0.0]), (10_003, [float("nan")]), (10_004, [None, 1.0]), (10_005, [1.0]), (10_006, [2.0, 0.0]), (10_007, [1e30, 1e30])]
+
+
+@pytest.mark.parametrize(("rows", "queries"), [(16, 4), (4096, 512)])
+def test_exact_equals_brute_force_with_ties(spark, monkeypatch, rows, queries):
+    monkeypatch.setattr(nearest, "ROWS", rows)
+    monkeypatch.setattr(nearest, "QUERIES", queries)
+    data = random_rows(1, 120) + ODD
+    all_rows = table(spark, data)
+    asked = {i for i, _ in data if i is not None and i % 3 == 0}
+    assert got(nearest.exact(all_rows.where("id % 3 = 0"), all_rows, 4)) == brute(data, asked, 4)
+    assert nearest.exact(all_rows.limit(0), all_rows, 4).count() == 0
+    assert nearest.exact(all_rows, all_rows.limit(0), 4).count() == 0
+
+
+def test_index_holds_every_row_and_finds_them(spark, tmp_path):
+    """A third of the rows are near copies of one vector, so one list is large."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((900, 16))
+    x[::3] = x[0] + 0.05 * r.standard_normal((300, 16))
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows = table(spark, data)
+    index = nearest.build(rows, str(tmp_path / "index"), recall=0.95)
+    assert sorted(v["id"] for v in index.lists.select("id").collect()) == list(range(900))
+    assert 1 <= index.probes <= len(index.centroids) <= nearest.CELLS
+    queries = rows.where("id % 20 = 1")
+    want, found = got(nearest.exact(queries, rows, 5)), got(nearest.search(index, queries, 5))
+    hits = sum(len(set(want[q]) & set(found.get(q, []))) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_index_of_few_and_no_rows(spark, tmp_path):
+    rows = table(spark, [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])])
+    index = nearest.build(rows, str(tmp_path / "few"))
+    assert got(nearest.search(index, rows, 1))[1] == [2]
+    none = nearest.build(rows.limit(0), str(tmp_path / "none"))
+    assert nearest.search(none, rows, 1).count() == 0
