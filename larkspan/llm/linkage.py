@@ -38,6 +38,9 @@ SHARES, ONE_SHARE = 4, 20_000_000
 #: Members of a component that are compared in one of these, and in the round after them.
 TRIES, LATER_TRIES = 3, 16
 
+#: Bits of a signature of a row's words.
+SIGNATURE = 256
+
 Verify = Callable[[DataFrame, int, str], DataFrame]
 
 
@@ -162,6 +165,12 @@ def _round(rows: DataFrame, found: DataFrame, step: int, tries: int, half: bool)
     return one.select(F.explode("pairs").alias("pair")).select("pair.a", "pair.b")
 
 
+def _few_bits_differ() -> Column:
+    """What all alike rows meet: a word that only one of them has changes one bit of its signature at most."""
+    differ = sum((F.bit_count(F.get("sig", F.lit(i)).bitwiseXOR(F.get("o_sig", F.lit(i)))) for i in range(SIGNATURE // 64)), F.lit(0))
+    return differ <= 2 * F.floor(0.2 * F.greatest("size", "o_size") + 1e-9)
+
+
 def _similar(x: str, y: str) -> str:
     return f"least({x}, {y}) >= 0.8 * greatest({x}, {y})"
 
@@ -191,9 +200,12 @@ def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _across(work: Scratch, rows: DataFrame, groups: _Groups, tried: _Tried, name: str) -> None:
     """Compare all rows of different components that share one of the buckets."""
-    rows = work.save(_mixed(rows, groups.found).select("key", "id", "size", "comp"), f"{name}-mixed")
-    other = rows.select("key", F.col("id").alias("o_id"), F.col("size").alias("o_size"), F.col("comp").alias("o_comp"))
+    more = [c for c in ("sig",) if c in rows.columns]
+    rows = work.save(_mixed(rows, groups.found).select("key", "id", "size", "comp", *more), f"{name}-mixed")
+    other = rows.select("key", F.col("id").alias("o_id"), F.col("size").alias("o_size"), F.col("comp").alias("o_comp"), *(F.col(c).alias(f"o_{c}") for c in more))
     pairs = rows.join(other, "key").where("comp < o_comp").where(_similar("size", "o_size"))
+    if more:
+        pairs = pairs.where(_few_bits_differ())
     groups.join(*tried(pairs.select(*_ordered(F.col("id"), F.col("o_id"))).distinct(), name), name)
 
 
@@ -204,7 +216,8 @@ def link(work: Scratch, things: DataFrame, verify: Verify, split: Callable[[Data
     fifth of each other.  ``verify`` takes distinct pairs (a, b), their number and a
     name, and returns those that are alike; all ids it is asked about are in the table
     ``0-rows`` of ``work``.  ``split`` takes a written table of rows (key, pos of the key,
-    id, size) of crowded buckets and returns rows with further keys.
+    id, size) of crowded buckets and returns rows (key, id, size, sig) with further keys
+    and a signature of SIGNATURE bits, one or none for each different word of the row.
     """
     tried, groups = _Tried(work, verify), _Groups(work)
     rows, crowded = shared(work, things.select("id", "size", F.posexplode("keys").alias("pos", "key")), "0")
@@ -213,7 +226,7 @@ def link(work: Scratch, things: DataFrame, verify: Verify, split: Callable[[Data
         return groups.found
     apart, n = work.counted(_mixed(rows.where(F.col("n") > CROWD), groups.found).select("key", "pos", "id", "size"), "apart")
     if n:
-        more, crowded = shared(work, split(apart).select("key", "id", "size").distinct(), "1")
+        more, crowded = shared(work, split(apart).select("key", "id", "size", "sig").dropDuplicates(["key", "id"]), "1")
         _linked(work, more, crowded, groups, tried, "1")
         if crowded:
             _across(work, more.where(F.col("n") > CROWD), groups, tried, "last")

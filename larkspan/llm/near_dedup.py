@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import rare_words as R
 from .keys import LAST, order_key, second_print, sent, spare_name, without
-from .linkage import link
+from .linkage import SIGNATURE, link
 from .scratch import Scratch
 
 WORDS = 5
@@ -206,7 +206,7 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rare(batches: Iterable[pa.RecordBatch], counts: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, sizes = [], []
+        keys, sizes, sigs = [], [], []
         for words in batch.column(1):
             codes = np.frombuffer(words.as_buffer(), "<u4")
             one = np.unique(codes)
@@ -216,10 +216,13 @@ def _rare(batches: Iterable[pa.RecordBatch], counts: np.ndarray, similarity: flo
             x, y, z = R.triples(ordered, len(codes))
             keys.append(np.r_[A.mix(first ^ A.mix(second, 36), 37), A.mix(x ^ A.mix(y ^ A.mix(z, 38), 36), 39)])
             sizes.append(len(codes))
+            bits = np.zeros(SIGNATURE, np.uint8)
+            bits[hashed % SIGNATURE] = 1
+            sigs.append(np.packbits(bits, bitorder="little").view(np.int64))
         offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
         flat = A.signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), lists], ["id", "size", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(sigs, pa.list_(pa.int64())), lists], ["id", "size", "sig", "keys"])
 
 
 def _rare_keys(rows: DataFrame, codes: DataFrame, work: Scratch, similarity: float) -> DataFrame:
@@ -229,8 +232,8 @@ def _rare_keys(rows: DataFrame, codes: DataFrame, work: Scratch, similarity: flo
     counts = np.zeros(R.SLOTS, np.int64)
     for r in words.select("words").mapInArrow(_word_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
         counts[r["slot"]] = r["n"]
-    found = words.mapInArrow(partial(_rare, counts=np.minimum(counts, 2**31 - 1).astype(np.int32), similarity=similarity), "id long, size long, keys array<long>")
-    return found.select("id", "size", F.explode("keys").alias("key"))
+    found = words.mapInArrow(partial(_rare, counts=np.minimum(counts, 2**31 - 1).astype(np.int32), similarity=similarity), "id long, size long, sig array<long>, keys array<long>")
+    return found.select("id", "size", "sig", F.explode("keys").alias("key"))
 
 
 def _prints(docs: DataFrame) -> DataFrame:
