@@ -1,12 +1,11 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed words and word pairs are counted: the raw corpus
-(every document) and the trusted target (documents labelled good, at most
-``max_target`` of them, picked by a hash).  A document's score is the mean over
-its n-grams of log(target / raw).  It is kept if the score reaches a threshold
-that is a function of the trusted documents alone: their median less ``spread``
-times their median absolute deviation, so the verdict needs no random draw and
-treats every document alike.
+(every document) and the trusted target (every document labelled good).  A
+document's score is the mean over its n-grams of log(target / raw).  It is kept
+if the score reaches a threshold that is a function of the trusted documents
+alone: their median less ``spread`` times their median absolute deviation, both
+exact, so the verdict needs no random draw and treats every document alike.
 
 Defined cases: null and empty texts have no words and fail the base rules; without
 trusted documents the ratio is 0 for all and only base rules decide; rows with
@@ -19,17 +18,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from .docstats import Stats
+from .keys import sent
 from .scratch import Scratch
 
 BUCKETS = 1 << 15
-MAX_TARGET = 40_000
 SMOOTH = 1.0
 SPREAD = 16.0
+#: Cells that a pass over the values of a median cuts them into, and values that are fetched as they are.
+CELLS, FEW = 1_024, 10_000
 
 
 def _buckets(stats: Stats) -> tuple[np.ndarray, np.ndarray]:
@@ -65,20 +66,21 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-_SCORED = "doc_id long, trusted boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
+_SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
 
 
-def scored(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
-    """Every document with its base counts and mean log-likelihood ratio."""
+def scored(docs: DataFrame, labels: DataFrame, work: Scratch | None = None) -> DataFrame:
+    """Every document with its base counts, mean log-likelihood ratio, and whether it is trusted."""
     spark = docs.sparkSession
+    work = work or Scratch(spark, "rules")
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__good")).distinct()
-    n = good.count()
-    if n > max_target:
-        good = good.where(F.pmod(F.xxhash64("__good", F.lit("target")), F.lit(1_000_000)) < int(1_000_000 * max_target / n))
-    # At most about max_target ids of eight bytes.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left")
-    rows = rows.select("doc_id", "text", F.col("__good").isNotNull().alias("trusted"))
-    ratios = spark.sparkContext.broadcast(log_ratios(rows))
+    good = sent(*work.counted(good, "good"))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.join(good, F.col("doc_id") == F.col("__good"), "left").withColumn("trusted", F.col("__good").isNotNull()).drop("__good")
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ratios = spark.sparkContext.broadcast(log_ratios(marked(rows)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in A.chunks(batches):
@@ -88,20 +90,47 @@ def scored(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET) ->
             llr = total / np.maximum(np.bincount(doc, minlength=len(chunk)), 1)
             _, dup = stats.n_lines_and_repeats()
             counts = [stats.n_words, stats.word_chars(), stats.n_symbols(), dup, stats.n_repeat_words()]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("trusted"), *[pa.array(c.astype(np.int64)) for c in counts], pa.array(llr)], [c.split()[0] for c in _SCORED.split(", ")])
-
-    return rows.mapInArrow(run, _SCORED)
-
-
-def verdicts(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, spread: float = SPREAD) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *[pa.array(c.astype(np.int64)) for c in counts], pa.array(llr)], [c.split()[0] for c in _SCORED.split(", ")])
+
+    return marked(rows.mapInArrow(run, _SCORED))
+
+
+def median(rows: DataFrame, value: Column, cells: int = CELLS, few: int = FEW) -> float | None:
+    """The exact median of a column, None if there is none.
+
+    Each pass counts the rows of ``cells`` cells between the bounds and goes on with the cell
+    that holds the middle, so no task and no driver has more than ``few`` values.
+    """
+    x = rows.select(value.cast("double").alias("x")).where("x IS NOT NULL")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).head()
+    if not n:
+        return None
+    before, mine, middle = 0, n, (n - 1) // 2
+    while low < high and mine > few:
+        width = max((high - low) / cells, 5e-324)
+        cell = F.least(F.floor((F.col("x") - low) / width), F.lit(cells - 1))
+        counts = x.where(F.col("x").between(low, high)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("cell").collect()  # a row a cell
+        for r in counts:
+            low, high, mine = r["lo"], r["hi"], r["n"]
+            if middle < before + mine:
+                break
+            before += mine
+    if low < high:
+        low = [r["x"] for r in x.where(F.col("x").between(low, high)).sort("x").collect()][middle - before]
+    upto, above = x.agg(F.count_if(F.col("x") <= low), F.min(F.when(F.col("x") > low, F.col("x")))).head()
+    return low if n % 2 or upto > n // 2 else (low + above) / 2
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFrame:
     """Base counts, llr, threshold, base_failed and kept of every document."""
-    rows = Scratch(docs.sparkSession, "rules").save(scored(docs, labels, max_target), "scored")
+    work = Scratch(docs.sparkSession, "rules")
+    rows = work.save(scored(docs, labels, work), "scored")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     known = rows.where(F.col("trusted") & ~failed)
-    middle = known.agg(F.percentile("llr", 0.5).alias("m")).head()["m"]
+    middle = median(known, F.col("llr"))
     if middle is None:
         threshold = float("-inf")
     else:
-        threshold = middle - spread * max(known.agg(F.percentile(F.abs(F.col("llr") - middle), 0.5).alias("m")).head()["m"], 1e-3)
+        threshold = middle - spread * max(median(known, F.abs(F.col("llr") - middle)), 1e-3)
     out = rows.withColumn("base_failed", failed).withColumn("threshold", F.lit(threshold))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.col("threshold")))

@@ -127,6 +127,21 @@ def test_rules_ratio_and_threshold_by_brute_force(spark, frame, corpus):
         assert got[i]["kept"] == (not got[i]["base_failed"] and llr[i] >= threshold - 1e-12)
 
 
+def test_rules_trust_every_good_document(spark):
+    docs = spark.range(41_000).selectExpr("id AS doc_id", "concat('w', id % 97, ' a b c d e f g h i j') AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert quality_rules.scored(docs, labels).where("trusted").count() == 41_000
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 1000])
+def test_rules_median(spark, n):
+    r = np.random.default_rng(n)
+    values = np.r_[np.round(r.normal(size=n), 2), 1e9, 1e-9][:n]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    assert quality_rules.median(rows, F.col("v"), cells=7, few=3) == pytest.approx(float(np.median(values)), abs=1e-12)
+    assert quality_rules.median(rows.where("v IS NULL"), F.col("v")) is None
+
+
 def test_rules_without_target_or_rows(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_rules.verdicts(frame(["a b c d e f g h i j k", None]), none).collect()
