@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import rare_words as R
 from .keys import LAST, order_key, second_print, sent, spare_name, without
-from .linkage import SIGNATURE, link
+from .linkage import SIGNATURE, components, link
 from .scratch import Scratch
 
 WORDS = 5
@@ -292,11 +292,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return rows.select("ord", "fp", "fp2").join(_classes(rows, Scratch(docs.sparkSession, "near"), similarity), ["fp", "fp2"])
 
 
-def _with_origin(docs: DataFrame, origin: DataFrame, work: Scratch) -> DataFrame:
-    """The rows of ``docs`` with own_fp and own_fp2, and the text that their lines were taken from.
+def _origins(docs: DataFrame, origin: DataFrame, work: Scratch) -> DataFrame | None:
+    """The texts that documents' lines were taken from, with own_fp and own_fp2 of the documents; None if there are none.
 
-    That is the text of the one row of ``origin`` with this doc_id, if the document
-    is the only one with it and each of its lines stands in that text; else its own.
+    That is the text of the one row of ``origin`` with this doc_id, if it is another one, the
+    document is the only one with its doc_id and each of its lines stands in that text.
     """
 
     def alone(rows: DataFrame) -> DataFrame:
@@ -305,28 +305,46 @@ def _with_origin(docs: DataFrame, origin: DataFrame, work: Scratch) -> DataFrame
     mine, theirs = _prints(docs), _prints(origin)
     before = alone(theirs).toDF("ord", "o_fp", "o_fp2")
     changed, n = work.counted(alone(mine).join(before, "ord").where("fp <> o_fp OR fp2 <> o_fp2").select("ord"), "changed")
-    mine = mine.withColumns({"own_fp": F.col("fp"), "own_fp2": F.col("fp2")})
     if not n:
-        return mine
+        return None
     some = sent(changed, n)
-    both = mine.join(some, "ord").join(theirs.join(some, "ord").select("ord", F.col("text").alias("whole")), "ord")
+    both = mine.withColumnsRenamed({"fp": "own_fp", "fp2": "own_fp2"}).join(some, "ord").join(theirs.join(some, "ord").select("ord", F.col("text").alias("whole")), "ord")
     derived = (F.size(F.array_except(F.split("text", "\n"), F.split("whole", "\n"))) == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
     found = both.where(derived).select("ord", F.xxhash64("whole").alias("fp"), second_print("whole").alias("fp2"), F.col("whole").alias("text"), "own_fp", "own_fp2")
-    found = work.save(found, "origin")
-    rest = without(mine, work.save(found.select("ord"), "restored"), [F.col("ord")])
-    return found.unionByName(rest)
+    return work.save(found, "origin")
+
+
+def _one_class_a_document(found: DataFrame, work: Scratch) -> DataFrame:
+    """``found`` with the classes of a document's two texts made one, kept by its least row."""
+    doc, kept = ["ord", "own_fp", "own_fp2"], ["class_id", "kept_fp", "kept_fp2"]
+    found = work.save(found.withColumn("node", F.xxhash64(*kept)), "texts")
+    ends = found.groupBy(*doc).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    edges, n = work.counted(ends.select("a", "b").distinct(), "same")
+    if not n:
+        return found
+    roots = components(work, edges, "same", n)
+    roots = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    nodes = found.join(sent(work.save(roots, "nodes"), 2 * n), F.col("node") == F.col("id")).select("id", "root", *kept).distinct()
+    best = nodes.groupBy("root").agg(F.min(F.struct(*kept)).alias("best"))
+    best = work.save(nodes.select("id", "root").join(best, "root").select("id", "best"), "best")
+    marked = found.join(sent(best, 2 * n), F.col("node") == F.col("id"), "left")
+    return marked.select(*doc, "fp", "fp2", *(F.coalesce(f"best.{k}", k).alias(k) for k in kept))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, origin: DataFrame | None = None) -> DataFrame:
     """The documents, with all their columns, without all but one of each class.
 
     Where an earlier step took lines from the documents, ``origin`` has them as they
-    were, and the texts compared are those of ``origin``.
+    were, and documents are one class by their texts as they are or as they were.
     """
     work = Scratch(docs.sparkSession, "near")
-    rows = _with_origin(docs, origin, work) if origin is not None else _prints(docs).withColumns({"own_fp": F.col("fp"), "own_fp2": F.col("fp2")})
+    rows = _prints(docs).withColumns({"own_fp": F.col("fp"), "own_fp2": F.col("fp2")})
+    before = None if origin is None else _origins(docs, origin, work)
+    rows = rows if before is None else rows.unionByName(before)
     found = rows.select("ord", "fp", "fp2", "own_fp", "own_fp2").join(_classes(rows, work, similarity), ["fp", "fp2"])
-    gone = found.where("ord <> class_id OR fp <> kept_fp OR fp2 <> kept_fp2").select("ord", "own_fp", "own_fp2").distinct()
+    found = found if before is None else _one_class_a_document(found, work)
+    stays = (F.col("ord") == F.col("class_id")) & (F.col("fp") == F.col("kept_fp")) & (F.col("fp2") == F.col("kept_fp2"))
+    gone = found.groupBy("ord", "own_fp", "own_fp2").agg(F.max(stays).alias("stays")).where("NOT stays").drop("stays")
     text = F.coalesce("text", F.lit(""))
     keys = [order_key(), F.xxhash64(text), second_print(text)]
     left = without(docs, work.save(gone, "gone"), keys)

@@ -1,6 +1,7 @@
 """op4, op7 and op9, and the pipeline."""
 
 import collections
+import random
 import re
 import zlib
 
@@ -261,6 +262,22 @@ def test_each_stage_with_odd_rows_and_empty_tables(spark, odd_dir):
     assert clean.where("text IS NULL").count() == docs.where("text IS NULL").count()
 
 
+def test_near_duplicates_by_what_line_dedup_left_and_by_what_was_there(spark, frame, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randint(0, 10_000)}" for _ in range(n))
+    left = line(60)
+    alike = left.replace(" ", "\n", 1) + " more"  # 1 and 2 are alike by what is left alone
+    one, two, three = line(60), line(12), line(12)  # 3 and 4 by what was there alone
+    near_before = [f"{one}\n{two}", f"{one}\n{three}"]
+    whole = [f"{line(100)}\n{left}", f"{line(100)}\n{alike}", *near_before, line(50)]
+    frame(whole, range(1, 6)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = frame([left, alike, near_before[0], three, whole[4]], range(1, 6))
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(x["doc_id"] for x in out.collect()) == [1, 3, 5]
+
+
 def near_pairs(texts):
     """Pairs of texts at a word edit similarity of 0.8: every pair that shares a run of four words is aligned."""
     from larkspan.llm.near_dedup import banded_distance
