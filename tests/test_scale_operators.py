@@ -19,6 +19,20 @@ def spans(seed, n):
     return [*out, (900, None, 5), (901, 5, None), (902, None, None), (903, -(10**6), 10**6), (904, 100, 101), (905, 100, 101)]
 
 
+@pytest.mark.parametrize("side", [4, 64])
+def test_totals_of_overlaps(spark, side):
+    r = random.Random(side)
+    spans = [(i, lo, lo + r.choice([0, 1, 3, 40, 900])) for i, lo in enumerate(r.randint(-500, 500) for _ in range(150))]
+    left = spark.createDataFrame(spans, "i long, lo long, hi long")
+    right = spark.createDataFrame(spans[::7] + [(999, 5_000, 5_010), (1_000, None, 3)], "j long, l2 long, h2 long")
+    got = sorted(tuple(x) for x in overlap.totals(left, "lo", "hi", right, "l2", "h2", side=side).select("j", "n", "length").collect())
+    both = [(j, min(hi, h2) - max(lo, l2)) for j, l2, h2 in spans[::7] for _, lo, hi in spans if max(lo, l2) < min(hi, h2)]
+    assert got == sorted({j: (j, len(x := [n for k, n in both if k == j]), sum(x)) for j, _ in both}.values())
+    plan = overlap.totals(left, "lo", "hi", right, "l2", "h2")._jdf.queryExecution().toString()
+    assert "cell_big" not in plan  # pairs are not made
+    assert overlap.totals(left.limit(0), "lo", "hi", right, "l2", "h2").count() == 0
+
+
 @pytest.mark.parametrize("side", [2, 3, 8, 64])
 def test_overlaps_come_once(spark, side):
     a, b = spans(1, 90), spans(2, 70)
