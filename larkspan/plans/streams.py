@@ -31,7 +31,8 @@ def reordered(events: DataFrame, path: str, files: int = FILES, late: int = LATE
         return
     part = F.least(F.floor((at - low) * files / (high - low + 1)), F.lit(files - 1))
     for i in range(files):
-        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        # Filtered by all tasks; only the rows of the file go to its one writer.
+        events.where(part == i).repartition(1).write.mode("append").parquet(path)
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:

@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import pandas as pd
+
 from larkspan import streaming
 from larkspan.plans import streams
 from larkspan.streaming import joins, sinks, state
@@ -164,3 +166,20 @@ def test_reordered_files_are_late_by_no_more_than_stated(spark, tmp_path):
     assert seen == 500 and mixed
     streams.reordered(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"))
     assert spark.read.schema(SCHEMA).parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_rows_of_a_key_are_stored_by_one_call():
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *args: self if name.startswith("get") and args else calls.append(name)
+
+        def exists(self):
+            return False
+
+    steps = state._Steps("view", "purchase", 60_000)
+    steps.init(Store())
+    frame = pd.DataFrame({"ms": range(1_000), "id": range(1_000), "kind": ["view"] * 1_000})
+    list(steps.handleInputRows((1,), iter([frame]), None))
+    assert len(calls) == 3  # the rows, the timer and its time
