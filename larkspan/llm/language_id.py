@@ -235,19 +235,19 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     step = {x: max(2, min(HELD_SHARE, len(t))) for x, t in texts.items()}
     held = {x: t[:: step[x]] if len(t) > 1 else [] for x, t in texts.items()}
     learnt = {x: [v for i, v in enumerate(t) if i % step[x]] if len(t) > 1 else t for x, t in texts.items()}
-    parts, sources = {}, {}
-    for x in langs:
-        codes, begin = folded(learnt[x])
+    parts, each = {}, {n: {} for n in range(1, order + 1)}
+    for x in langs:  # what is kept of a language is a row for each different n-gram
+        codes, begin = folded(learnt.pop(x))
         keys, back = gram_keys(codes, order), places(len(codes), begin)[1]
-        parts[x], sources[x] = _kneser_ney(keys, back, order), (keys, back)
-    model.floor = np.array([np.log(np.exp(parts[x][1][0]["values"][0]) * _UNSEEN) for x in langs])
-    for n in range(1, order + 1):
-        seen = {}
-        for x in langs:
-            keys, back = sources[x]
+        parts[x] = _kneser_ney(keys, back, order)
+        for n in each:
             at = np.flatnonzero(back >= max(n - 1, 1))
             k, first = np.unique(keys[n][at], return_index=True)
-            seen[x] = (k, keys[n - 1][at[first]], keys[n - 1][at[first] - 1])
+            each[n][x] = (k, keys[n - 1][at[first]], keys[n - 1][at[first] - 1])
+        del codes, keys, back, at, k, first
+    model.floor = np.array([np.log(np.exp(parts[x][1][0]["values"][0]) * _UNSEEN) for x in langs])
+    for n in range(1, order + 1):
+        seen = each.pop(n)
         union = np.unique(np.concatenate([v[0] for v in seen.values()]))
         suffix, context = np.zeros(len(union), np.uint64), np.zeros(len(union), np.uint64)
         for v in seen.values():

@@ -358,3 +358,19 @@ def test_very_long_texts(spark, frame):
     assert sorted(x["n_words"] for x in quality_rules.verdicts(docs, labels).collect()) == [3, 400_000, 400_001]
     assert sorted((x["doc_id"], x["n_removed"]) for x in substring_dedup.dedup(docs).collect()) == [(0, 0), (1, 0), (2, 400_000)]
     assert {x["ord"]: x["class_id"] for x in near_dedup.classes(docs).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_language_fit_holds_one_language_at_a_time():
+    import tracemalloc
+
+    text = " ".join(f"word{chr(97 + i % 7)}{chr(97 + i % 11)}" for i in range(20_000))
+
+    def peak(n):
+        tracemalloc.start()
+        language_id.fit({f"x{i}": [text, text] for i in range(n)})
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    peak(1)  # tables that are made once
+    assert peak(8) < 1.5 * peak(1)
