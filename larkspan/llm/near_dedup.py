@@ -49,6 +49,8 @@ SIMILARITY = 0.8
 #: A pair whose shorter text has at most so many words has sketches of single words.
 SHORT = 40
 WORD_SKETCHES, WORD_ORDER = 32, 3
+#: Bits of a signature: fewer would all be set by the words of long texts.
+BITS = 4 * SIGNATURE
 
 
 def _labelled(grams: np.ndarray) -> np.ndarray:
@@ -216,8 +218,8 @@ def _rare(batches: Iterable[pa.RecordBatch], counts: np.ndarray, similarity: flo
             x, y, z = R.triples(ordered, len(codes))
             keys.append(np.r_[A.mix(first ^ A.mix(second, 36), 37), A.mix(x ^ A.mix(y ^ A.mix(z, 38), 36), 39)])
             sizes.append(len(codes))
-            bits = np.zeros(SIGNATURE, np.uint8)
-            bits[hashed % SIGNATURE] = 1
+            bits = np.zeros(BITS, np.uint8)
+            bits[hashed % BITS] = 1
             sigs.append(np.packbits(bits, bitorder="little").view(np.int64))
         offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
         flat = A.signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
@@ -225,15 +227,16 @@ def _rare(batches: Iterable[pa.RecordBatch], counts: np.ndarray, similarity: flo
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(sigs, pa.list_(pa.int64())), lists], ["id", "size", "sig", "keys"])
 
 
-def _rare_keys(rows: DataFrame, codes: DataFrame, work: Scratch, similarity: float) -> DataFrame:
-    """Keys of the words that are rare among ``rows``."""
+def _rare_keys(rows: DataFrame, codes: DataFrame, work: Scratch, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Keys of the words that are rare among ``rows``, and a signature of the words of each."""
     ids, n = work.counted(rows.select("id").distinct(), "crowd")
     words = work.save(codes.join(sent(ids, n), F.col("fp") == F.col("id")).select("id", "words"), "crowd-words")
     counts = np.zeros(R.SLOTS, np.int64)
     for r in words.select("words").mapInArrow(_word_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
         counts[r["slot"]] = r["n"]
     found = words.mapInArrow(partial(_rare, counts=np.minimum(counts, 2**31 - 1).astype(np.int32), similarity=similarity), "id long, size long, sig array<long>, keys array<long>")
-    return found.select("id", "size", "sig", F.explode("keys").alias("key"))
+    found = work.save(found, "rare")
+    return found.select("id", "size", F.explode("keys").alias("key")), found.select("id", "sig")
 
 
 def _prints(docs: DataFrame) -> DataFrame:
@@ -270,10 +273,10 @@ def _classes(rows: DataFrame, work: Scratch, similarity: float) -> DataFrame:
         x, y = (known[0].select(F.col("fp").alias(i), F.col("words").alias(w)).join(pairs, i) for i, w in (("a", "x"), ("b", "y")))
         return x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(partial(_align, similarity=similarity), "a long, b long")
 
-    def split(crowded: DataFrame) -> DataFrame:
+    def split(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
         return _rare_keys(crowded, known[0], work, similarity)
 
-    roots = link(work, distinct.select(F.col("fp").alias("id"), "size", "keys"), verify, split)
+    roots = link(work, distinct.select(F.col("fp").alias("id"), "size", "keys"), verify, split, BITS)
     members = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
     linked = members.join(work.spark.read.parquet(f"{work.root}/chosen"), F.col("id") == F.col("fp")).select("fp", "fp2", "root", "first")
     linked = work.save(linked, "linked", 2 * roots.count())
