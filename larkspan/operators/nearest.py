@@ -3,7 +3,7 @@
 Both compare a set of queries with rows that share a cell: one cell for all rows where the
 answer is to be exact, the cells nearest to a query where an index is used.  The rows of a
 cell are dealt to strips of about ROWS, its queries to strips of about QUERIES, and a pair of
-strips is one matrix product that leaves the best of each query; these are ranked in the end.
+strips is one group and one matrix product that leaves the best of each query; these are ranked in the end.
 So a cell with a third of the rows is many tasks.
 
 The index is fitted on a bounded sample: CELLS centroids at most, of at most SAMPLE vectors,
@@ -84,25 +84,30 @@ def best(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     left = _panels(queries.join(F.broadcast(counts), "cell"), "q", F.col("qs"), "r", F.col("rs"), QUERIES)
     right = _panels(rows.join(F.broadcast(counts), "cell"), "r", F.col("rs"), "q", F.col("qs"), ROWS)
 
-    def tile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = (batch.column(c).slice(i, 1).flatten() for c in (0, 1))
-                x, y = (z.field("u") for z in (a, b))
-                width = max(max(z.value_lengths().to_pylist()) for z in (x, y))
-                p, q = (z.field("id").to_numpy(zero_copy_only=False) for z in (a, b))
-                place = np.argsort(q)
-                q = q[place]
-                sims = np.round(_matrix(x, width) @ _matrix(y, width)[place].T, 12)
-                sims[p[:, None] == q[None, :]] = -np.inf
-                for _ in range(min(k, len(q))):  # the first of equal ones has the smaller id
-                    at = sims.argmax(axis=1)
-                    value = sims[np.arange(len(p)), at]
-                    some = value > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(p[some]), pa.array(q[at[some]]), pa.array(value[some])], ["query_id", "id", "sim"])
-                    sims[np.arange(len(p)), at] = -np.inf
-
-    found = left.join(right.hint("merge"), ["cell", "q", "r"]).select("q_rows", "r_rows").mapInArrow(tile, "query_id long, id long, sim double")
+    def tile(some: pa.Table, others: pa.Table) -> pa.Table:
+        """The best of a pair of strips: a task holds one pair at a time, however many it has."""
+        found = [pa.RecordBatch.from_pydict({"query_id": [], "id": [], "sim": []}, schema=pa.schema({"query_id": pa.int64(), "id": pa.int64(), "sim": pa.float64()}))]
+        if not len(some) or not len(others):
+            return pa.Table.from_batches(found)
+        a, b = (t.column(f"{side}_rows").chunk(0).flatten() for t, side in ((some, "q"), (others, "r")))
+        x, y = (z.field("u") for z in (a, b))
+        width = max(pc.max(z.value_lengths()).as_py() for z in (x, y))
+        p, q = (z.field("id").to_numpy(zero_copy_only=False) for z in (a, b))
+        place = np.argsort(q)
+        q = q[place]
+        sims = np.round(_matrix(x, width) @ _matrix(y, width)[place].T, 12)
+        sims[p[:, None] == q[None, :]] = -np.inf
+        for _ in range(min(k, len(q))):  # the first of equal ones has the smaller id
+            at = sims.argmax(axis=1)
+            value = sims[np.arange(len(p)), at]
+            good = value > -np.inf
+            found.append(pa.RecordBatch.from_arrays([pa.array(p[good]), pa.array(q[at[good]]), pa.array(value[good])], ["query_id", "id", "sim"]))
+            sims[np.arange(len(p)), at] = -np.inf
+        return pa.Table.from_batches(found).combine_chunks()
+
+    # A group is one row of each side; batches of joined rows would hold all pairs of a task.
+    pair = ["cell", "q", "r"]
+    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(tile, "query_id long, id long, sim double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 

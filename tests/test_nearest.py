@@ -75,3 +75,15 @@ def test_index_of_few_and_no_rows(spark, tmp_path):
     assert got(nearest.search(index, rows, 1))[1] == [2]
     none = nearest.build(rows.limit(0), str(tmp_path / "none"))
     assert nearest.search(none, rows, 1).count() == 0
+
+
+def test_a_task_holds_one_pair_of_strips_at_a_time(spark, monkeypatch):
+    """In batches, as Arrow maps get them, all pairs of a task are in memory at once."""
+    monkeypatch.setattr(nearest, "ROWS", 16)
+    monkeypatch.setattr(nearest, "QUERIES", 4)
+    data = random_rows(4, 90)
+    rows = table(spark, data)
+    found = nearest.exact(rows.where("id % 2 = 0"), rows, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert got(found) == brute(data, {i for i, _ in data if i % 2 == 0}, 3)
