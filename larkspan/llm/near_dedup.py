@@ -255,7 +255,7 @@ def _classes(rows: DataFrame, work: Scratch, similarity: float) -> DataFrame:
 
     def chosen() -> tuple[DataFrame, int]:
         """The texts that share a bucket and their number; of texts that agree in fp alone, one takes part."""
-        ids = work.spark.read.parquet(f"{work.root}/0-rows").select(F.col("id").alias("fp")).distinct()
+        ids = work.spark.read.parquet(f"{work.root}/asked").select(F.col("id").alias("fp"))
         one = ids.join(prints, "fp").groupBy("fp").agg(F.min(F.struct("fp2", "first")).alias("one"))
         return work.counted(one.select("fp", "one.*"), "chosen")
 
