@@ -213,10 +213,13 @@ def _rare(batches: Iterable[pa.RecordBatch], counts: np.ndarray, similarity: flo
             codes = np.frombuffer(words.as_buffer(), "<u4")
             one = np.unique(codes)
             hashed = A.mix(one.astype(np.uint64), 35)
-            ordered = hashed[np.lexsort((hashed, counts[one % R.SLOTS]))]
-            first, second = R.pairs(ordered, len(codes), similarity)
-            x, y, z = R.triples(ordered, len(codes))
-            keys.append(np.r_[A.mix(first ^ A.mix(second, 36), 37), A.mix(x ^ A.mix(y ^ A.mix(z, 38), 36), 39)])
+            held = counts[one % R.SLOTS]
+            order = np.lexsort((hashed, held))
+            ordered, held = hashed[order], held[order]
+            alone = R.singles(ordered, len(codes), similarity, held)
+            first, second = R.pairs(ordered, len(codes), similarity, held)
+            x, y, z = R.triples(ordered, len(codes), held)
+            keys.append(np.r_[A.mix(alone, 40), A.mix(first ^ A.mix(second, 36), 37), A.mix(x ^ A.mix(y ^ A.mix(z, 38), 36), 39)])
             sizes.append(len(codes))
             bits = np.zeros(BITS, np.uint8)
             bits[hashed % BITS] = 1
