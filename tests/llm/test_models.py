@@ -220,6 +220,29 @@ def brute_model(texts, train):
     return [sum(log(v, w) for v, w in zip(["<"] + t[:-1], t, strict=True)) for t in tokens]
 
 
+def test_probes_are_sent_once_for_a_chunk_of_texts():
+    """Texts that repeat their pairs send few bytes to the segments, however often they occur."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(k * j) % 50}" for k in range(400)) for j in range(1, 60)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    (chunk,) = lm_score.A.chunks([batch])
+    keys, doc = lm_score.tokens(chunk)
+    pair, alone, _ = lm_score.ngrams(keys, doc)
+    top, shape = lm_score.Top(np.zeros(0, np.uint64), np.zeros(0, np.int64)), lm_score._shape(20 << 20)
+    names, sent = lm_score._questions(chunk, top, shape)
+    different = len(np.unique(np.r_[pair, alone]))
+    assert sum(map(len, sent)) == 5 * different < len(keys) and sorted(set(names)) == list(names)
+
+
+def test_lm_scores_are_the_same_by_segments(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm_score, "SEGMENT_TOKENS", 3_000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(spark.createDataFrame([(None, None), (-1, "")], "doc_id long, text string"))
+    found = [sorted(map(str, lm_score.score(docs, remainder(7) != 2, max_filter=limit).collect())) for limit in (lm_score.MAX_FILTER, 0)]
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+
+
 @pytest.mark.parametrize("limit", [lm_score.MAX_FILTER, 0])
 def test_lm_scores_against_exact_counts(frame, corpus, monkeypatch, limit):
     monkeypatch.setattr(lm_score, "SEGMENT_TOKENS", 700)  # several segments
