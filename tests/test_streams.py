@@ -183,3 +183,72 @@ def test_rows_of_a_key_are_stored_by_one_call():
     frame = pd.DataFrame({"ms": range(1_000), "id": range(1_000), "kind": ["view"] * 1_000})
     list(steps.handleInputRows((1,), iter([frame]), None))
     assert len(calls) == 3  # the rows, the timer and its time
+
+
+def test_keys_of_a_bucket_are_taken_at_once():
+    """Calls to the store do not grow with the keys, and every key has its own open step."""
+    calls, timers = [], set()
+
+    class Value:
+        def __init__(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            calls.append("get")
+            return self.rows[0] if self.single else iter(self.rows)
+
+        def update(self, row):
+            calls.append("update")
+            self.rows = [row]
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.rows += rows
+
+        def clear(self):
+            calls.append("clear")
+            self.rows = []
+
+    class Handle:
+        registerTimer, deleteTimer = timers.add, timers.remove
+
+        def getListState(self, *_):
+            out = Value()
+            out.single = False
+            return out
+
+        def getValueState(self, *_):
+            out = Value()
+            out.single = True
+            return out
+
+    class Times:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    steps = state._Steps("view", "purchase", 60)
+    steps.init(Handle())
+    n = 500
+    found, kinds = {}, (["view"] * n, ["purchase" if k % 2 else "view" for k in range(n)])
+    for turn, (at, kind) in enumerate(zip((100, 150), kinds, strict=True)):
+        rows = pd.DataFrame({"key": range(n), "ms": [at] * n, "id": [1000 * turn + k for k in range(n)], "kind": kind})
+        list(steps.handleInputRows((7,), iter([rows]), None))
+        for frame in steps.handleExpiredTimer((7,), Times(at + 10), Times(min(timers))):
+            found |= {(r.key, r.first_id): (r.next_id, r.outcome) for r in frame.itertuples()}
+    assert found == {(k, k): (1000 + k, "reached" if k % 2 else "repeated") for k in range(n)}
+    for frame in steps.handleExpiredTimer((7,), Times(211), Times(min(timers))):
+        found |= {(r.key, r.first_id): (r.next_id, r.outcome) for r in frame.itertuples()}
+    assert {k for k, v in found.items() if v[1] == "expired"} == {(k, 1000 + k) for k in range(0, n, 2)}
+    assert len(calls) < 60 and not any(x.rows for x in (steps.ahead, steps.open))
